@@ -27,14 +27,14 @@ def fanout_plan(
     """Each target with each item of the type it wants, and what to do about it.
 
     ``targets``: target (unique), available, wanted (one of ``types``, or ``every`` for all of them).
-    ``items``: item, type, exists. Action: ``sync``, ``skip_unreachable`` or ``skip_missing_source``.
+    ``items``: item, type, present. Action: ``sync``, ``skip_unreachable`` or ``skip_missing_source``.
     """
     wanted = F.when(F.col("wanted") == every, F.array(*map(F.lit, types))).otherwise(F.array("wanted"))
     asked = targets.select("target", "available", F.explode(wanted).alias("type"))
     pairs = lookup_join(asked, items, ["type"], "inner", ["target"])
     action = (
         F.when(~F.col("available"), "skip_unreachable")
-        .when(~F.col("exists"), "skip_missing_source")
+        .when(~F.col("present"), "skip_missing_source")
         .otherwise("sync")
     )
     return pairs.select("target", "item", action.alias("action"))
