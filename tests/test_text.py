@@ -1,0 +1,174 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import text
+from tidemark.operators.sequences import block_spans
+from tidemark.sources.scan import scan_json_index, scan_lines
+
+B, E = "# >>> x", "# <<< x"
+
+
+def edited(spark, bodies, edit):
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, t string")
+    return [row.t for row in edit(df).orderBy("id").collect()]
+
+
+def test_lines(spark):
+    df = spark.createDataFrame([(1, "a\n\nb\n"), (2, "c"), (3, "")], "id long, t string")
+    assert [tuple(row) for row in scan_lines(df, "id", "t").orderBy("id", "pos").collect()] == [
+        (1, 0, "a"), (1, 1, ""), (1, 2, "b"), (2, 0, "c"), (3, 0, ""),
+    ]
+
+
+def test_json_that_is_none_gives_no_rows(spark):
+    df = spark.createDataFrame(
+        [(1, '{"assets":[{"kind":"k","name":"n"}]}'), (2, "rate limited"), (3, "{}"), (4, None)], "id long, j string"
+    )
+    out = scan_json_index(df, ["id"], "j", "assets", "kind string, name string", F.col("item.kind") == "k", "name")
+    assert [tuple(row) for row in out.collect()] == [(1, "n")]
+
+
+def test_upsert_at_the_tail(spark):
+    new = f"{B}\nnew\n{E}\n"
+    bodies = {
+        "": new,
+        "a": f"a\n{new}",
+        "a\n": f"a\n{new}",
+        f"a\n{B}\nold\n{E}\nb\n": f"a\nb\n{new}",
+        f"{B}\n1\n{E}\na\n{B}\n2\n{E}": f"a\n{new}",
+        f"a\n{B}\nno end\nb": f"a\n{new}",  # reaches to the end
+        f"a\n  {B} (managed)\n1\nend {E} end\nb\n": f"a\nb\n{new}",  # markers may be part of a line
+        f"a\n{B}\n{B}\n1\n{E}\nb\n": f"a\nb\n{new}",
+        f"a\r\n{B}\r\nold\r\n{E}\r\nb\n": f"a\r\nb\n{new}",
+    }
+    edit = lambda df: text.block_upsert_tail(df, "t", B, E, "new")
+    assert edited(spark, bodies, edit) == list(bodies.values())
+    assert edited(spark, bodies.values(), edit) == list(bodies.values())
+
+
+def test_replace_in_place(spark):
+    body = "cost $1 \\ path"
+    new = f"{B}\n{body}\n{E}"
+    bodies = {
+        "": f"\n{new}\n",
+        "a": f"a\n\n{new}\n",
+        "a\n": f"a\n\n{new}\n",
+        f"a\n{B}\nold\n{E}\nb\n": f"a\n{new}\nb\n",
+        f"{B}\n1\n{E}\na\n{B}\n2\n{E}": f"{new}\na\n{new}",
+        f"a\n{B}\nno end\nb": f"a\n{B}\n{body}\n",  # the rest is lost
+        f"a\n{B} more\nb\n": f"a\n{B} more\nb\n\n{new}\n",  # not a whole line
+        f"{B}\n1\n{B}\n2\n{E}\nb": f"{B}\n{body}\n{new}\nb",  # each begin gets its body
+        f"{E}\na\n{B}\n{E}\n": f"{E}\na\n{new}\n",
+    }
+    for given in (body, F.lit(body)):
+        edit = lambda df: text.block_replace_in_place(df, "t", B, E, given)
+        assert edited(spark, bodies, edit) == list(bodies.values())
+    done = [t for t in bodies.values() if t.count(B + "\n") == t.count(E)]
+    assert edited(spark, done, edit) == done
+
+
+def test_long_block_needs_no_deep_stack(spark):
+    long = f"a\n{B}\n" + "line\n" * 200_000 + f"{E}\nb\n"
+    assert edited(spark, [long], lambda df: text.block_upsert_tail(df, "t", B, E, "x")) == [f"a\nb\n{B}\nx\n{E}\n"]
+    assert edited(spark, [long], lambda df: text.block_replace_in_place(df, "t", B, E, "x")) == [f"a\n{B}\nx\n{E}\nb\n"]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 1000])
+def test_spans_by_chunks(spark, chunk):
+    body = f"a\n{B}\n1\n{E}\nb\n{B}\n2\n3\n{B}\n4\n{E}\nc\n{E}\nd\n{B}\n5"
+    df = spark.createDataFrame([(1, body), (2, "x\ny"), (3, f"{E}\n{B}")], "id long, t string")
+    spans = block_spans(scan_lines(df, "id", "t"), "id", "pos", "line", B, E, chunk)
+    got = [tuple(row) for row in spans.orderBy("id", "pos").collect()]
+    want = []
+    for id, t in [(1, body), (2, "x\ny"), (3, f"{E}\n{B}")]:
+        inside, count = False, 0
+        for pos, line in enumerate(t.split("\n")):
+            if line == B:
+                inside, count = True, count + 1
+            if line == E:
+                inside = False
+            want.append((id, pos, line, inside, count))
+    assert got == want
+
+
+def test_spans_agree_with_replacing(spark):
+    bodies = [f"a\n{B}\n1\n2\n{E}\nb", f"{B}\n{E}\n{B}\n3", "plain"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, t string")
+    spans = block_spans(scan_lines(df, "id", "t"), "id", "pos", "line", B, E)
+    kept = spans.where(~F.col("in_block") & ~F.col("line").isin(B, E)).orderBy("id", "pos")
+    replaced = text.block_replace_in_place(df, "t", B, E, "new").where(F.col("t").contains(B))
+    lines = scan_lines(replaced, "id", "t").where(~F.col("line").isin(B, E, "new", "")).orderBy("id", "pos")
+    assert [(r.id, r.line) for r in kept.collect()] == [(r.id, r.line) for r in lines.collect()]
+
+
+def test_comment_out(spark):
+    body = "swap a\nkeep\n#swap b\n  /swapfile none\nlast swap"
+    once = "#swap a\nkeep\n#swap b\n#  /swapfile none\n#last swap"
+    edit = lambda df: text.comment_out_lines(df, "t", "swap")
+    assert edited(spark, [body], edit) == [once]
+    assert edited(spark, [once], edit) == [once]
+    stacked = lambda df: text.comment_out_lines(df, "t", "swap", idempotent=False)
+    assert edited(spark, [once], stacked) == ["##swap a\nkeep\n##swap b\n##  /swapfile none\n##last swap"]
+    hosts = lambda df: text.comment_out_lines(df, "t", r"^\s*127[.]0[.]1[.]1\s.*\bnode1\b", mark="# ")
+    assert edited(spark, ["127.0.1.1 node1\n127.0.1.1 node12"], hosts) == ["# 127.0.1.1 node1\n127.0.1.1 node12"]
+
+
+def test_key_value_lines(spark):
+    bodies = {
+        "": "Key yes\n",
+        "Other no": "Other no\nKey yes\n",
+        "Key no\nx\n  # Key maybe\nKeyed no": "Key yes\nx\nKey yes\nKeyed no",
+        "#Key yes\n": "Key yes\n",
+        "Key\nyes": "Key\nyes\nKey yes\n",  # no value on the line
+    }
+    edit = lambda df: text.replace_or_append_kv(df, "t", "Key", "yes")
+    assert edited(spark, bodies, edit) == list(bodies.values())
+    assert edited(spark, bodies.values(), edit) == list(bodies.values())
+    export = lambda df: text.replace_or_append_kv(df, "t", "JAVA_HOME", "/opt/$v", style="export")
+    assert edited(spark, ["export  JAVA_HOME=x\n#export JAVA_HOME=y", "a"], export) == [
+        'export JAVA_HOME="/opt/$v"\n#export JAVA_HOME=y',
+        'a\nexport JAVA_HOME="/opt/$v"\n',
+    ]
+
+
+def test_tail(spark):
+    df = spark.createDataFrame(
+        [(1, "a\n b\n c \n"), (2, "one"), (3, ""), (4, "a\nb\n\n"), (5, "a\t\n\tb")], "id long, t string"
+    )
+    out = text.tail_lines(df, "t", 2).orderBy("id").collect()
+    assert [row.tail for row in out] == ["b  c", "one", "", "b", "a\t \tb"]
+
+
+def test_paths(spark):
+    paths = {
+        "/a/b/c.tgz": ("c.tgz", "/a/b"),
+        "c.tgz": ("c.tgz", "."),
+        "a/b/": ("b", "a"),
+        "/a": ("a", "/"),
+        "/": ("/", "/"),
+        "a//b": ("b", "a"),
+    }
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r.p: (r.basename, r.dirname) for r in text.path_parts(df, "p").collect()}
+    assert got == paths
+
+
+def test_split_around(spark):
+    df = spark.createDataFrame([("11.0.29+7",), ("17",)], "v string")
+    out = text.split_around(df, "v", ".").collect()
+    assert tuple(out[0])[1:] == ("11", "11.0", "0.29+7", "29+7")
+    assert tuple(out[1])[1:] == ("17", "17", "17", "17")
+
+
+def test_url_template(spark):
+    df = spark.createDataFrame([("2.13.12",), ("3.7.4",), ("11.0.29+7",), ("x",)], "v string")
+    templates = [(3, "s/{version}/{name}"), (0, "o/v{version}"), (11, "j/{main}%2B{build}/{version}")]
+    assert [r.url for r in text.url_template(df, "v", templates).collect()] == [
+        "o/v2.13.12", "s/3.7.4/3.7", "j/11.0.29%2B7/11.0.29%2B7", None,
+    ]
+
+
+def test_fields(spark):
+    df = spark.createDataFrame([("  10.0.0.1 \t node1 x",), ("10.0.0.2",), ("",)], "s string")
+    out = text.field_split(df, "s", ["ip", "name"]).collect()
+    assert [(r.ip, r.name) for r in out] == [("10.0.0.1", "node1"), ("10.0.0.2", None), (None, None)]

@@ -10,12 +10,20 @@ ADDRESS = rf"^{_OCTET}(?:[.]{_OCTET}){{3}}\z"
 NETWORK = rf"^{_OCTET}(?:[.]{_OCTET}){{3}}/(?:3[0-2]|[12]?[0-9])\z"
 
 
+def is_address(ip: Column) -> Column:
+    return ip.rlike(ADDRESS)
+
+
+def is_network(cidr: Column) -> Column:
+    return cidr.rlike(NETWORK)
+
+
 def address_number(ip: Column) -> Column:
-    """``192.168.0.1`` -> 3232235521; null for anything that is not an IPv4 address."""
-    octets = F.split(F.when(ip.rlike(ADDRESS), ip), "[.]")
+    """``192.168.0.1`` -> 3232235521, for text that ``is_address``."""
     number = F.lit(0).cast("bigint")
     for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).cast("bigint")
+        octet = F.substring_index(F.substring_index(ip, ".", i + 1), ".", -1)
+        number = number * 256 + octet.cast("bigint")
     return number
 
 
@@ -26,6 +34,5 @@ def network_base(number: Column, length: Column) -> Column:
 
 
 def network_parts(cidr: Column) -> tuple[Column, Column]:
-    """(number, prefix length) of ``a.b.c.d/n``; both null for anything else."""
-    good = F.when(cidr.rlike(NETWORK), cidr)
-    return address_number(F.substring_index(good, "/", 1)), F.substring_index(good, "/", -1).cast("int")
+    """(number, prefix length) of ``a.b.c.d/n``, for text that ``is_network``."""
+    return address_number(F.substring_index(cidr, "/", 1)), F.substring_index(cidr, "/", -1).cast("int")

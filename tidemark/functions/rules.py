@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.addresses import NETWORK
+from tidemark.functions.addresses import is_network
 
 # fixed value: longest host label
 HOST_LABEL_MAX = 63
@@ -27,4 +27,4 @@ def version_rules(version: Column, parts: int) -> dict[str, Column]:
 
 
 def network_rules(cidr: Column) -> dict[str, Column]:
-    return {"has_prefix_length": cidr.contains("/"), "is_ipv4_network": cidr.rlike(NETWORK)}
+    return {"has_prefix_length": cidr.contains("/"), "is_ipv4_network": is_network(cidr)}

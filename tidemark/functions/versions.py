@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 STABLE = r"^[0-9]+[.][0-9]+[.][0-9]+\z"
 PREVIEW = "[abrc]"
 
-NUMBERS = "^([0-9]+(?:[.][0-9]+)*)"
+# Numbers in a sort key are as long as the longest bigint that is safe to compare.
+DIGITS = 18
+# A tilde sorts before the end of the text, the end before digits and letters, these before signs.
+SIGNS = "~+-.:_"
+SIGN_CODES = "\x01\x7b\x7c\x7d\x7e\x7f"
+END_CODE = "\x02"
+# Length of the key's part that holds the first three numbers
+TRIPLE_LENGTH = 3 * DIGITS + 2
+
+
+def is_version(version: Column) -> Column:
+    """Starts with a number, and no number has more than 18 digits."""
+    return version.rlike("^[0-9]") & ~version.rlike(f"[0-9]{{{DIGITS + 1}}}")
 
 
 def is_stable(version: Column) -> Column:
@@ -20,33 +32,13 @@ def is_preview(version: Column) -> Column:
     return version.rlike(PREVIEW)
 
 
-def version_numbers(version: Column) -> Column:
-    """``3.13.0rc1`` -> [3, 13, 0]; null when there is no leading number or one beyond 18 digits."""
-    numbers = F.regexp_extract(version, NUMBERS, 1)
-    usable = (numbers != "") & ~version.rlike("[0-9]{19}")
-    return F.when(usable, F.split(F.when(usable, numbers), "[.]").cast("array<bigint>"))
-
-
 def version_key(version: Column) -> Column:
-    """A struct that sorts versions by number, the bare version before its suffixed ones.
+    """Text that sorts, byte by byte, as versions do in ``sort -V``.
 
-    Suffix parts sort as in ``sort -V``: a tilde before nothing, nothing before letters, letters before
-    signs; digits after the suffix word count as a number. The text itself settles what is left.
+    All numbers are padded to the same length, signs are moved behind letters, and the version itself
+    settles what is left (``1.01`` and ``1.1``). A bare version comes before its suffixed ones. Right
+    for all that ``is_version``.
     """
-    suffix = F.regexp_replace(version, NUMBERS, "")
-    word = F.regexp_extract(suffix, "^([^0-9]*)", 1)
-    digits = F.regexp_extract(suffix, "^[^0-9]*([0-9]+)", 1)
-    kind = (
-        F.when(word == "", 0).when(word.startswith("~"), -1).when(word.rlike("^[A-Za-z]"), 1).otherwise(2)
-    )
-    numbers = version_numbers(version)
-    return F.when(
-        numbers.isNotNull(),
-        F.struct(
-            numbers.alias("numbers"),
-            kind.alias("kind"),
-            word.alias("word"),
-            F.coalesce(digits.try_cast("bigint"), F.lit(0)).alias("digits"),
-            version.alias("text"),
-        ),
-    )
+    longer = F.regexp_replace(version, "([0-9]+)", "0" * DIGITS + "$1")
+    padded = F.regexp_replace(longer, f"[0-9]+?([0-9]{{{DIGITS}}})(?![0-9])", "$1")
+    return F.concat(F.translate(padded, SIGNS, SIGN_CODES), F.lit(END_CODE), version)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.addresses import address_number, network_base, network_parts
+from tidemark.functions.addresses import address_number, is_address, is_network, network_base, network_parts
 from tidemark.operators.spread import lookup_join
 
 
@@ -19,15 +19,15 @@ def cidr_match(
     """
     number, length = network_parts(F.col(cidr))
     known = (
-        networks.select(F.col(cidr).alias("cidr"), number.alias("_number"), length.alias("_length"))
-        .where(F.col("_length").isNotNull())
+        networks.where(is_network(F.col(cidr)))
+        .select(F.col(cidr).alias("cidr"), number.alias("_number"), length.alias("_length"))
         .distinct()
         .select("cidr", "_length", network_base(F.col("_number"), F.col("_length")).alias("_base"))
     )
     lengths = known.agg(F.collect_set("_length").alias("_lengths"))  # no more than 33 values
     masked = (
-        addresses.select(id, ip, address_number(F.col(ip)).alias("_number"))
-        .where(F.col("_number").isNotNull())
+        addresses.where(is_address(F.col(ip)))
+        .select(id, ip, address_number(F.col(ip)).alias("_number"))
         .withColumn("_length", F.explode(lengths.scalar()))
         .select(id, ip, "_length", network_base(F.col("_number"), F.col("_length")).alias("_base"))
     )

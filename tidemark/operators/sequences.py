@@ -49,7 +49,7 @@ def longest_ok_prefix(df: DataFrame, group: Sequence[str], seq: str, ok: Column)
         F.min(F.when(~F.col("_ok"), F.col("_seq"))).alias("_stop"), F.count(F.lit(1)).alias("_rows")
     )
     before = F.col("_stop").isNull() | (F.col("_seq") < F.col("_stop"))
-    joined = spread_join(probes.drop("_ok"), stops, group, "inner", ["_seq"], weight="_rows")
+    joined = spread_join(probes.drop("_ok"), stops, group, "inner", ["_seq"], stops.select(*group, "_rows"))
     return joined.groupBy(*group).agg(F.max(F.when(before, F.col("_seq"))).alias("last_ok"))
 
 
@@ -61,7 +61,7 @@ def priority_fallback(
     best = candidates.groupBy(*group).agg(
         F.min(priority).alias("_best"), F.count(F.lit(1)).alias("_rows")
     )
-    joined = spread_join(candidates, best, group, "inner", spread_by, weight="_rows")
+    joined = spread_join(candidates, best, group, "inner", spread_by, best.select(*group, "_rows"))
     return joined.where(F.col(priority) == F.col("_best")).select(*df.columns)
 
 

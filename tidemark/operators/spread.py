@@ -30,11 +30,11 @@ def fits_broadcast(df: DataFrame) -> bool:
     return seen[0] <= BROADCAST_ROWS and (seen[1] or 0) <= BROADCAST_BYTES
 
 
-def heavy_keys(counts: DataFrame, on: Sequence[str], n: str) -> DataFrame:
-    """Of ``counts`` (one row per key, ``n`` rows each), the keys to cut and their number of slices."""
-    total = counts.agg(F.sum(n).alias("_total"))
+def heavy_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Of ``counts`` (keys and their number of rows), the keys to cut and their number of slices."""
+    total = counts.agg(F.sum("_rows").alias("_total"))
     return (
-        counts.withColumn("_cut", F.ceil(F.col(n) * F.lit(float(SLICES)) / total.scalar()).cast("long"))
+        counts.withColumn("_cut", F.ceil(F.col("_rows") * F.lit(float(SLICES)) / total.scalar()).cast("long"))
         .where(F.col("_cut") > HEAVY)
         .select(*on, "_cut")
     )
@@ -46,21 +46,19 @@ def spread_join(
     on: Sequence[str],
     how: str,
     spread_by: Sequence[str],
-    weight: str | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) of a left side that may be skewed.
 
     ``spread_by`` names columns that tell the left rows of one key apart; the slice is a hash of them,
-    so a task run a second time puts each row where it was. ``weight`` names a column of ``right`` that
-    already holds the number of left rows per key; without it they are counted, with map-side partial
-    sums.
+    so a task run a second time puts each row where it was. ``counts`` is a table of the key columns and
+    the number of left rows per key, ``_rows``, for callers that have one; otherwise rows are counted,
+    with map-side partial sums.
     """
     on = list(on)
-    if weight is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        counts = right.select(*on, F.col(weight).alias("_n"))
-    heavy = F.broadcast(heavy_keys(counts, on, "_n"))
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = F.broadcast(heavy_keys(counts, on))
 
     row_hash = F.xxhash64(*spread_by)
     no_key = F.lit(False)

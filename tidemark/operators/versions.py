@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.versions import is_preview, is_stable, version_key
+from tidemark.functions.versions import TRIPLE_LENGTH, is_preview, is_stable, is_version, version_key
 from tidemark.operators.spread import spread_join
 
 
@@ -15,14 +15,18 @@ def _versions(df: DataFrame, group: Sequence[str], version: str) -> DataFrame:
     """Distinct versions per group with the sort key and the number of rows of each.
 
     The key is worked out after copies are gone, and a group's copies are gone before its rows meet.
+    The first filter is on the version, as one on the key would be pushed down and work it out for every
+    row. The second one always holds: it keeps the count in every use of this table, so that all uses
+    have the same columns and share one shuffle.
     """
-    counts = df.groupBy(*group, version).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.withColumn("_key", version_key(F.col(version))).where(F.col("_key").isNotNull())
+    copies = df.where(is_version(F.col(version))).groupBy(*group, version)
+    counts = copies.agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 0)
+    return counts.withColumn("_key", version_key(F.col(version)))
 
 
 def _policy_rank(version: Column, policy: str) -> Column:
     if policy == "preview_first":
-        return F.when(is_preview(version), 2).when(is_stable(version), 1)
+        return F.when(is_preview(version), 2).otherwise(1)
     if policy == "stable_first":
         return F.when(is_stable(version), 2).otherwise(1)
     raise ValueError(f"unknown policy: {policy}")
@@ -34,11 +38,9 @@ def latest_version(df: DataFrame, group: Sequence[str], version: str, policy: st
     ``preview_first``: the greatest preview, else the greatest stable one, nothing else.
     ``stable_first``: the greatest stable one, else the greatest of any kind.
     """
-    ranked = (
-        _versions(df, group, version)
-        .withColumn("_rank", _policy_rank(F.col(version), policy))
-        .where(F.col("_rank").isNotNull())
-    )
+    ranked = _versions(df, group, version).withColumn("_rank", _policy_rank(F.col(version), policy))
+    if policy == "preview_first":
+        ranked = ranked.where(is_preview(F.col(version)) | is_stable(F.col(version)))
     return ranked.groupBy(*group).agg(F.max_by(version, F.struct("_rank", "_key")).alias(version))
 
 
@@ -51,26 +53,24 @@ def version_sort(df: DataFrame, group: Sequence[str], version: str, spread_by: S
     """Add ``rank``, the place of a row's version among its group's versions in natural order.
 
     Equal versions share a place; rows without a version key have none and are left out. Ranks are
-    counted within (major, minor, patch), then shifted by what the lower ones hold, so that no window
-    covers more than the versions of one such triple or the triples of one group.
+    counted among versions with the same first three numbers, then shifted by what the lower ones hold,
+    so that no window covers more than the versions of one such triple or the triples of one group.
     """
     group = list(group)
-    triple = [F.coalesce(F.get("_key.numbers", F.lit(i)), F.lit(-1)).alias(f"_v{i}") for i in range(3)]
-    names = ["_v0", "_v1", "_v2"]
-    versions = _versions(df, group, version).select(*group, version, "_rows", "_key", *triple)
-    within = Window.partitionBy(*group, *names).orderBy("_key")
-    lower = (
-        Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    bucket = F.substring("_key", 1, TRIPLE_LENGTH).alias("_triple")
+    versions = _versions(df, group, version).select(*group, version, "_rows", "_key", bucket)
+    within = Window.partitionBy(*group, "_triple").orderBy("_key")
+    lower = Window.partitionBy(*group).orderBy("_triple").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        versions.groupBy(*group, *names)
+        versions.groupBy(*group, "_triple")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*group, *names, F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
+        .select(*group, "_triple", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
     )
     ranks = (
         versions.withColumn("_place", F.row_number().over(within))
-        .join(shift, [*group, *names])
-        .select(*group, version, "_rows", (F.col("_place") + F.col("_shift")).alias("rank"))
+        .join(shift, [*group, "_triple"])
+        .select(*group, version, (F.col("_place") + F.col("_shift")).alias("rank"))
     )
-    placed = spread_join(df, ranks, [*group, version], "inner", spread_by, weight="_rows")
+    counts = versions.select(*group, version, "_rows")
+    placed = spread_join(df, ranks, [*group, version], "inner", spread_by, counts)
     return placed.select(*df.columns, "rank")
