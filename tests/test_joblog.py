@@ -1,0 +1,37 @@
+"""Event logs that Spark itself writes, plain and rolled with compression."""
+
+import subprocess
+import sys
+
+import pytest
+
+from tidemark.sources.joblog import event_log_rollup
+
+JOB = """
+import sys
+from pyspark.sql import SparkSession
+folder, rolling = sys.argv[1:]
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", folder)
+    .config("spark.eventLog.rolling.enabled", rolling).config("spark.eventLog.compress", rolling)
+    .config("spark.sql.adaptive.enabled", "false").config("spark.sql.shuffle.partitions", "5")
+    .getOrCreate())
+spark.range(0, 1000, 1, 7).selectExpr("id % 10 as k").groupBy("k").count().write.format("noop").mode("overwrite").save()
+print("APP", spark.sparkContext.applicationId)
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("rolling", ["true", "false"])
+def test_rollup(spark, tmp_path, rolling):
+    done = subprocess.run(
+        [sys.executable, "-c", JOB, f"file://{tmp_path}", rolling], capture_output=True, text=True, timeout=300
+    )
+    app = next(line.split()[1] for line in done.stdout.splitlines() if line.startswith("APP"))
+    rows = event_log_rollup(spark, str(tmp_path)).orderBy("stage").collect()
+    assert [(r.app, r.tasks, r.failed) for r in rows] == [(app, 7, 0), (app, 5, 0)]
+    assert rows[0].shuffle_write > 0 and rows[0].shuffle_read == 0
+    assert rows[1].shuffle_read == rows[0].shuffle_write
+    for row in rows:
+        assert row.run_p50 <= row.run_p95 <= row.run_max
+        assert row.skew is None or row.skew >= 1

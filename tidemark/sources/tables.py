@@ -12,5 +12,5 @@ def load(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text files as documents: (path, text), one row per file, final line end included."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
