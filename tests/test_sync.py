@@ -1,9 +1,10 @@
+import ipaddress
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import containment, filters, sequences, status, sync
+from tidemark.operators import containment, filters, sequences, spread, status, sync
 
 ROW = "key long, a string, b double"
 
@@ -88,6 +89,8 @@ def test_drift(spark):
 
     assert actions(False) == {"Pub": "skip", "Root": "replace", "Pass": "append", "New": "append"}
     assert actions(True) == {"Pub": "skip", "Root": "replace", "Pass": "skip", "New": "append"}
+    drift = spark.createDataFrame([("a", "skip"), ("a", "skip"), ("b", "skip"), ("b", "append")], "node string, action string")
+    assert dict(map(tuple, sync.drift_verdict(drift, ["node"]).collect())) == {"a": "skip", "b": "apply"}
 
 
 def test_fanout(spark):
@@ -107,15 +110,17 @@ def test_fanout(spark):
     }
 
 
-def test_networks(spark):
-    import ipaddress
+@pytest.mark.parametrize("few", [True, False])
+def test_networks(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(spread, "BROADCAST_ROWS", 2)
 
-    nets = ["10.0.0.0/8", "10.1.0.0/16", "10.1.2.77/24", "0.0.0.0/0", "10.1.2.3/32", "bad", "10.0.0.0/33", None]
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "10.1.2.77/24", "0.0.0.0/0", "10.1.2.3/32", "10.1.9.9/16", "bad", "10.0.0.0/33", None]
     ips = ["10.1.2.3", "10.1.2.4", "10.9.9.9", "192.168.0.1", "256.1.1.1", "::1", "10.1.2", None]
     addresses = spark.createDataFrame(list(enumerate(ips)), "id long, ip string")
     networks = spark.createDataFrame([(n,) for n in nets], "cidr string")
     want = {
-        (i, ip, n) for i, ip in enumerate(ips[:4]) for n in nets[:5]
+        (i, ip, n) for i, ip in enumerate(ips[:4]) for n in nets[:6]
         if ipaddress.ip_address(ip) in ipaddress.ip_network(n, strict=False)
     }
     got = containment.cidr_match(addresses, networks, "id", "ip", "cidr")

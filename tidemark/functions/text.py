@@ -32,6 +32,11 @@ def _line_ended(text: Column) -> Column:
     return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
 
 
+def without_last_newline(text: Column) -> Column:
+    """The text as lines see it: a newline at the very end opens no line."""
+    return F.when(text.endswith("\n"), F.regexp_replace(text, r"\n\z", "")).otherwise(text)
+
+
 def path_parts(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     """Add ``basename`` and ``dirname`` of a path or URL, as the commands of that name give them."""
     path = F.col(col)
@@ -113,9 +118,8 @@ def field_split(df: DataFrame, col: str, names: Sequence[str]) -> DataFrame:
 
 
 def tail_lines(df: DataFrame, text: str, n: int, out: str = "tail") -> DataFrame:
-    """The last ``n`` lines joined by blanks and trimmed. A newline at the very end opens no line."""
-    body = F.regexp_replace(F.col(text), r"\n\z", "")
-    joined = F.translate(F.substring_index(body, "\n", -n), "\n", " ")
+    """The last ``n`` lines joined by blanks and trimmed."""
+    joined = F.translate(F.substring_index(without_last_newline(F.col(text)), "\n", -n), "\n", " ")
     return df.withColumn(out, F.regexp_replace(joined, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+\z", ""))
 
 

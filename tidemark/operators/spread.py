@@ -56,19 +56,20 @@ def spread_join(
     with map-side partial sums.
     """
     on = list(on)
+    no_key = F.lit(False)
+    for name in on:
+        no_key = no_key | F.col(name).isNull()
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = F.broadcast(heavy_keys(counts, on))
+    # null keys are left out by joins anyway; saying so here too lets equal aggregates share a shuffle
+    heavy = F.broadcast(heavy_keys(counts.where(~no_key), on))
 
     row_hash = F.xxhash64(*spread_by)
-    no_key = F.lit(False)
-    for name in on:
-        no_key = no_key | F.col(name).isNull()
     # a row without a key matches nothing, so it may go to any slice
     pieces: Column = F.when(no_key, SLICES).otherwise(F.coalesce("_cut", F.lit(1)))
     cut_left = (
         left.join(heavy, on, "left")
-        .withColumn("_slice", F.pmod(row_hash, pieces))
+        .withColumn("_slice", F.coalesce(F.pmod(row_hash, pieces), F.lit(0)))
         .drop("_cut")
     )
     cut_right = (

@@ -148,6 +148,13 @@ def config_drift(
     return desired.join(latest, list(key), "left").select(*desired.columns, action.alias("action"))
 
 
+def drift_verdict(drift: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Whether a group has to be touched at all: ``skip`` when all its settings are as desired."""
+    settled = F.bool_and(F.col("action") == "skip")
+    verdict = F.when(settled, "skip").otherwise("apply")
+    return drift.groupBy(*group).agg(verdict.alias("verdict"))
+
+
 def insert_if_absent(
     existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:

@@ -57,7 +57,8 @@ def version_sort(df: DataFrame, group: Sequence[str], version: str, spread_by: S
     so that no window covers more than the versions of one such triple or the triples of one group.
     """
     group = list(group)
-    bucket = F.substring("_key", 1, TRIPLE_LENGTH).alias("_triple")
+    # never null, and known not to be: or the joins below would check it for every row of ``df``
+    bucket = F.coalesce(F.substring("_key", 1, TRIPLE_LENGTH), F.lit("")).alias("_triple")
     versions = _versions(df, group, version).select(*group, version, "_rows", "_key", bucket)
     within = Window.partitionBy(*group, "_triple").orderBy("_key")
     lower = Window.partitionBy(*group).orderBy("_triple").rowsBetween(Window.unboundedPreceding, -1)

@@ -223,6 +223,17 @@ ORACLE: dict[str, str] = {
     ),
     "config_drift": _drift("not commented"),
     "config_drift_commented": _drift("true"),
+    "drift_verdict": _with(
+        "observed",
+        """
+        , latest as (
+            select node, setting, value from observed
+            qualify row_number() over (partition by node, setting order by ts desc, event_id desc) = 1)
+        select node, case when count(*) filter (where value = '1' and setting in ('click', 'view')) = 2
+                          then 'skip' else 'apply' end as verdict
+        from latest group by node
+        """,
+    ),
     "insert_if_absent": """
         with have as (select unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line
                       from benchmark),

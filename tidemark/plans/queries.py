@@ -226,9 +226,9 @@ def cache_after(spark, folder):
     return sync.cache_after(requests, cache, "url", by="basename")
 
 
-def _desired(spark: SparkSession, folder: str) -> DataFrame:
+def _desired(spark: SparkSession, folder: str, wanted: dict[str, str] = DESIRED) -> DataFrame:
     nodes = _table(spark, folder, "events").select(F.col("user_id").alias("node")).distinct()
-    settings = F.create_map(*[F.lit(x) for pair in DESIRED.items() for x in pair])
+    settings = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
     return nodes.select("node", F.explode(settings).alias("setting", "value"))
 
 
@@ -254,6 +254,14 @@ def config_drift_commented(spark, folder):
     )
 
 
+@query
+def drift_verdict(spark, folder):
+    desired = _desired(spark, folder, {"click": "1", "view": "1"})
+    observed = spark_input(spark, folder, "observed")
+    drift = sync.config_drift(desired, observed, ["node", "setting"], "value", ["ts", "event_id"])
+    return sync.drift_verdict(drift, ["node"])
+
+
 @query
 def insert_if_absent(spark, folder):
     benchmark, documents = load(spark, folder, "benchmark", "documents")

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import without_last_newline
+
 
 def scan_lines(df: DataFrame, id: str, text: str) -> DataFrame:
-    """Documents to lines: (id, pos from 0, line). A newline at the very end opens no line."""
-    body = F.regexp_replace(F.col(text), r"\n\z", "")
-    return df.select(id, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
+    """Documents to lines: (id, pos from 0, line)."""
+    lines = F.split(without_last_newline(F.col(text)), "\n")
+    return df.select(id, F.posexplode(lines).alias("pos", "line"))
 
 
 def scan_html_links(pages: DataFrame, id: str, html: str, pattern: str, out: str = "link") -> DataFrame:
