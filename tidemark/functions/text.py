@@ -131,7 +131,7 @@ def comment_out_lines(
     return df.withColumn(
         text,
         F.regexp_replace(
-            F.col(text), rf"(?md)^{unmarked}(?=.*(?:{pattern}))", _as_replacement(mark)
+            F.col(text), rf"(?md)^{unmarked}(?=.*?(?:{pattern}))", _as_replacement(mark)
         ),
     )
 
@@ -168,9 +168,10 @@ def block_upsert_tail(df: DataFrame, text: str, begin: str, end: str, body: Colu
     the text.
     """
     block = (
-        rf"(?msd)^[^\n]*{_quoted(begin)}[^\n]*$.*?(?:^[^\n]*{_quoted(end)}[^\n]*$\n?|\z)"
+        rf"(?msd)^[^\n]*?{_quoted(begin)}[^\n]*$.*?(?:^[^\n]*?{_quoted(end)}[^\n]*$\n?|\z)"
     )
-    rest = F.regexp_replace(F.col(text), block, "")
+    whole = F.col(text)
+    rest = F.when(whole.contains(begin), F.regexp_replace(whole, block, "")).otherwise(whole)
     return df.withColumn(
         text, F.concat(_line_ended(rest), F.lit(begin + "\n"), _as_column(body), F.lit(f"\n{end}\n"))
     )

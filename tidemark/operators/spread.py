@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# All rows are thought of as SLICES equal slices; a key worth more than HEAVY of them is cut.
-# Fewer than SLICES / HEAVY keys can be that large, which bounds the broadcast list of heavy keys.
-SLICES = 4096
+# All rows are thought of as SLICES equal slices, none below SLICE_ROWS rows; a key worth more than HEAVY
+# of them is cut. Fewer than SLICES / HEAVY keys can be that large: this bounds the broadcast list of heavy
+# keys, and SLICES + SLICES / HEAVY the right rows that are repeated.
+SLICES = 131_072
+SLICE_ROWS = 10_000
 HEAVY = 4
 
 # A lookup side is broadcast only when it is seen to be within both bounds.
@@ -33,8 +35,9 @@ def fits_broadcast(df: DataFrame) -> bool:
 def heavy_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Of ``counts`` (keys and their number of rows), the keys to cut and their number of slices."""
     total = counts.agg(F.sum("_rows").alias("_total"))
+    rows = F.greatest(total.scalar() / F.lit(float(SLICES)), F.lit(float(SLICE_ROWS)))  # of one slice
     return (
-        counts.withColumn("_cut", F.ceil(F.col("_rows") * F.lit(float(SLICES)) / total.scalar()).cast("long"))
+        counts.withColumn("_cut", F.ceil(F.col("_rows") / rows).cast("long"))
         .where(F.col("_cut") > HEAVY)
         .select(*on, "_cut")
     )

@@ -10,9 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.sync import sync_apply
 
-# First-stage tasks that share the rows of one key before its few survivors meet.
-SHARES = 16
-
 
 def stream_insert_if_absent(
     stream: DataFrame,
@@ -20,6 +17,7 @@ def stream_insert_if_absent(
     spread_by: Sequence[str],
     ts: str | None = None,
     delay: str | None = None,
+    shares: int = 16,
 ) -> DataFrame:
     """Let the first row of each key through and drop all later ones.
 
@@ -27,10 +25,11 @@ def stream_insert_if_absent(
     forgotten once that much event time has passed, which is exact if no copy comes later than that.
 
     Rows are dropped in two stages, first within a share of each key's rows, then by key: however
-    frequent a key is, no task gets more than its share, and at most SHARES rows of it go on.
+    frequent a key is, no task gets more than its share, and at most ``shares`` rows of it go on. The
+    state of the first stage grows with ``shares`` for keys that are repeated often.
     """
     key = list(key)
-    shared = stream.withColumn("_share", F.pmod(F.xxhash64(*spread_by), F.lit(SHARES)))
+    shared = stream.withColumn("_share", F.pmod(F.xxhash64(*spread_by), F.lit(shares)))
     if delay is None:
         return shared.dropDuplicates([*key, "_share"]).dropDuplicates(key).drop("_share")
     if ts is None:
