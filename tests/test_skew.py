@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import sequences, spread, versions
+from tidemark.operators import sequences, spread, status, versions
 from tidemark.operators.spread import fits_broadcast, heavy_keys, lookup_join, spread_join
 
 ROWS = 30_000
@@ -122,3 +122,16 @@ def test_lines_of_a_long_document_are_spread(spark, shuffled):
         want[inside, count] += 1
     got = spans.where("doc = 0").groupBy("in_block", "block_no").count().collect()
     assert {(r.in_block, r.block_no): r["count"] for r in got} == dict(want)
+
+
+def test_failed_list_of_a_large_group_is_paged(spark, shuffled, monkeypatch):
+    monkeypatch.setattr(status, "PAGE_ENTRIES", 100)
+    outcome = F.when(F.col("id") % 5 == 0, "copied").otherwise("unreachable")
+    group = F.when(F.col("id") < 8000, 0).otherwise(F.col("id")).alias("g")
+    fleet = spark.range(8400).select(group, F.col("id").alias("node"), outcome.alias("outcome"))
+    lists = status.fleet_failed_list(fleet, ["g"], ["node"], ["copied"]).collect()
+    large = [r.failed_list for r in lists if r.g == 0]
+    assert len(large) == 64 and max(map(len, large)) < 200
+    assert all(page == sorted(page) for page in large)
+    entries = sorted(entry for r in lists for entry in r.failed_list)
+    assert entries == sorted(f"{i} - unreachable" for i in range(8400) if i % 5)

@@ -158,6 +158,10 @@ def test_gates_and_summary(spark):
     assert [tuple(r) for r in summary] == [
         ("d1", 4, 2, 2, "partial"), ("d2", 1, 0, 1, "failed"), ("d3", 1, 1, 0, "all"),
     ]
+    lists = status.fleet_failed_list(out, ["day"], ["node"], ok).orderBy("day").collect()
+    assert [(r.day, r.page, r.failed_list) for r in lists] == [
+        ("d1", 0, ["w2 - port closed", "w3 - unreachable"]), ("d2", 0, ["w1 - copy failed"]),
+    ]
     failures = status.fleet_failures(out, ["day"], ["node"], ok)
     assert sorted(r.entry for r in failures.collect()) == ["w1 - copy failed", "w2 - port closed", "w3 - unreachable"]
 

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.spread import spread_join
+
+# Entries aimed at per array of a failed list
+PAGE_ENTRIES = 10_000
+
 
 def gate_classify(
     df: DataFrame, entity: Sequence[str], gates: Sequence[tuple[str, str, Column]], otherwise: str
@@ -46,10 +51,28 @@ def fleet_failures(
 ) -> DataFrame:
     """The list behind ``failed``: one row per failed entity with ``entry`` = name and reason.
 
-    Rows, not an array per group: a group may have any number of failures.
+    Rows, as a group may have any number of failures; ``fleet_failed_list`` gathers them in arrays.
     """
     failed = ~F.coalesce(F.col("outcome").isin(list(ok)), F.lit(False))
     reason = F.coalesce("outcome", F.lit("unknown"))
     entry = F.concat_ws(" - ", *[F.col(c).cast("string") for c in entity], reason)
     rest = [c for c in entity if c not in group]
     return classified.where(failed).select(*group, *rest, entry.alias("entry"))
+
+
+def fleet_failed_list(
+    classified: DataFrame, group: Sequence[str], entity: Sequence[str], ok: Sequence[str]
+) -> DataFrame:
+    """The failures of each group as sorted arrays: group, ``page``, ``failed_list``.
+
+    A group with up to PAGE_ENTRIES failures has one page. A larger one has as many as it takes for
+    about that many entries each, so that no task holds the whole list of a large group.
+    """
+    failures = fleet_failures(classified, group, entity, ok)
+    counts = failures.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    pages = counts.withColumn("_pages", F.ceil(F.col("_rows") / PAGE_ENTRIES).cast("long"))
+    rest = [c for c in entity if c not in group]
+    placed = spread_join(failures, pages.drop("_rows"), group, "inner", rest, counts)
+    page = F.pmod(F.xxhash64(*rest), F.col("_pages")).alias("page")
+    lists = placed.groupBy(*group, page).agg(F.array_sort(F.collect_list("entry")).alias("failed_list"))
+    return lists.select(*group, "page", "failed_list")

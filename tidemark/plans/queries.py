@@ -301,6 +301,12 @@ def fleet_failures(spark, folder):
     return status.fleet_failures(_outcomes(spark, folder), ["day"], ["user_id"], ["already", "copied"])
 
 
+@query
+def fleet_failed_list(spark, folder):
+    lists = status.fleet_failed_list(_outcomes(spark, folder), ["day"], ["user_id"], ["already", "copied"])
+    return lists.select("day", F.concat_ws("; ", "failed_list").alias("failed_list"))
+
+
 @query
 def latest_version_preview_first(spark, folder):
     releases = spark_input(spark, folder, "releases")
