@@ -66,8 +66,8 @@ def test_distinct_versions_are_sorted(spark):
 
 
 def test_ranks(spark):
-    versions = ["1.10.0", "1.9.0", "1.10.0", "1.2.0", "1.10.0rc1", "1.10", "2.0.0"]
+    versions = ["1.10.0", "1.9.0", "1.10.0", "1.2.0", "1.10.0rc1", "1.10", "2.0.0", "1.10.2000", "x", None]
     out = version_sort(frame(spark, versions), ["g"], "v", ["id"]).collect()
     assert len(out) == len(versions)
-    want = {"1.2.0": 1, "1.9.0": 2, "1.10": 3, "1.10.0": 4, "1.10.0rc1": 5, "2.0.0": 6}
+    want = {"1.2.0": 1, "1.9.0": 2, "1.10": 3, "1.10.0": 4, "1.10.0rc1": 5, "1.10.2000": 6, "2.0.0": 7, "x": None, None: None}
     assert {row.v: row["rank"] for row in out} == want

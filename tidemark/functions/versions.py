@@ -15,8 +15,8 @@ DIGITS = 18
 SIGNS = "~+-.:_"
 SIGN_CODES = "\x01\x7b\x7c\x7d\x7e\x7f"
 END_CODE = "\x02"
-# Length of the key's part that holds the first three numbers
-TRIPLE_LENGTH = 3 * DIGITS + 2
+# Length of the key's part that holds the first two numbers and the thousands of the third
+BUCKET_LENGTH = 3 * DIGITS + 2 - 3
 
 
 def is_version(version: Column) -> Column:

@@ -30,7 +30,7 @@ def allow_list_filter(
     if not isinstance(allowed, DataFrame):
         return df.where(F.col(col).isin(list(allowed)))
     values = allowed.select(F.col(allowed.columns[0]).alias(col)).distinct()
-    return lookup_join(df, values, [col], "left_semi", spread_by or df.columns)
+    return lookup_join(df, values, [col], "left_semi", spread_by or df.columns).select(*df.columns)
 
 
 def exclude_pattern_filter(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.versions import TRIPLE_LENGTH, is_preview, is_stable, is_version, version_key
+from tidemark.functions.versions import BUCKET_LENGTH, is_preview, is_stable, is_version, version_key
 from tidemark.operators.spread import spread_join
 
 
@@ -52,26 +52,26 @@ def distinct_versions(df: DataFrame, group: Sequence[str], version: str) -> Data
 def version_sort(df: DataFrame, group: Sequence[str], version: str, spread_by: Sequence[str]) -> DataFrame:
     """Add ``rank``, the place of a row's version among its group's versions in natural order.
 
-    Equal versions share a place; rows without a version key have none and are left out. Ranks are
-    counted among versions with the same first three numbers, then shifted by what the lower ones hold,
-    so that no window covers more than the versions of one such triple or the triples of one group.
+    Equal versions share a place; it is null for rows without a group or with text that is no version.
+    Ranks are counted in buckets, then shifted by what the lower buckets hold, so that no window covers
+    all versions of a group. A bucket is major, minor and a thousand patches: the start of the key.
     """
     group = list(group)
     # never null, and known not to be: or the joins below would check it for every row of ``df``
-    bucket = F.coalesce(F.substring("_key", 1, TRIPLE_LENGTH), F.lit("")).alias("_triple")
+    bucket = F.coalesce(F.substring("_key", 1, BUCKET_LENGTH), F.lit("")).alias("_bucket")
     versions = _versions(df, group, version).select(*group, version, "_rows", "_key", bucket)
-    within = Window.partitionBy(*group, "_triple").orderBy("_key")
-    lower = Window.partitionBy(*group).orderBy("_triple").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group, "_bucket").orderBy("_key")
+    lower = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        versions.groupBy(*group, "_triple")
+        versions.groupBy(*group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*group, "_triple", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
+        .select(*group, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
     )
     ranks = (
         versions.withColumn("_place", F.row_number().over(within))
-        .join(shift, [*group, "_triple"])
+        .join(shift, [*group, "_bucket"])
         .select(*group, version, (F.col("_place") + F.col("_shift")).alias("rank"))
     )
     counts = versions.select(*group, version, "_rows")
-    placed = spread_join(df, ranks, [*group, version], "inner", spread_by, counts)
+    placed = spread_join(df, ranks, [*group, version], "left", spread_by, counts)
     return placed.select(*df.columns, "rank")
