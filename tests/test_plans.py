@@ -63,3 +63,11 @@ def test_restoring_prunes_other_snapshots(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(snapshot_ts" in plan(latest)
     assert "Subquery" in plan(latest).split("PartitionFilters")[1].split("PushedFilters")[0]
     assert latest.count() == 20
+
+
+@pytest.mark.parametrize("name", ["version_sort", "longest_ok_prefix", "priority_fallback"])
+def test_rows_are_counted_in_the_one_pass_that_aggregates(spark, settings, name):
+    settings(spark__sql__adaptive__enabled="false")
+    text = plan(queries()[name](spark, FOLDER))
+    # once for the aggregate that all uses share, once for the rows
+    assert text.count("FileScan parquet") == 2

@@ -21,7 +21,7 @@ BUCKET_LENGTH = 3 * DIGITS + 2 - 3
 
 def is_version(version: Column) -> Column:
     """Starts with a number, and no number has more than 18 digits."""
-    return version.rlike("^[0-9]") & ~version.rlike(f"[0-9]{{{DIGITS + 1}}}")
+    return version.isNotNull() & version.rlike("^[0-9]") & ~version.rlike(f"[0-9]{{{DIGITS + 1}}}")
 
 
 def is_stable(version: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.spread import spread_join
+from tidemark.operators.spread import shared, spread_join
 
 # Lines handled by one window; a long document is cut into chunks of this many.
 CHUNK_LINES = 65_536
@@ -48,6 +48,7 @@ def longest_ok_prefix(df: DataFrame, group: Sequence[str], seq: str, ok: Column)
     stops = probes.groupBy(*group).agg(
         F.min(F.when(~F.col("_ok"), F.col("_seq"))).alias("_stop"), F.count(F.lit(1)).alias("_rows")
     )
+    stops = shared(stops, "_stop")
     before = F.col("_stop").isNull() | (F.col("_seq") < F.col("_stop"))
     joined = spread_join(probes.drop("_ok"), stops, group, "inner", ["_seq"], stops.select(*group, "_rows"))
     return joined.groupBy(*group).agg(F.max(F.when(before, F.col("_seq"))).alias("last_ok"))
@@ -61,6 +62,7 @@ def priority_fallback(
     best = candidates.groupBy(*group).agg(
         F.min(priority).alias("_best"), F.count(F.lit(1)).alias("_rows")
     )
+    best = shared(best).where(F.col("_best").isNotNull())
     joined = spread_join(candidates, best, group, "inner", spread_by, best.select(*group, "_rows"))
     return joined.where(F.col(priority) == F.col("_best")).select(*df.columns)
 

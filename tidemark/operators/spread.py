@@ -32,6 +32,17 @@ def fits_broadcast(df: DataFrame) -> bool:
     return seen[0] <= BROADCAST_ROWS and (seen[1] or 0) <= BROADCAST_BYTES
 
 
+def shared(aggregate: DataFrame, *columns: str) -> DataFrame:
+    """Add a filter that always holds, since ``_rows`` is a count, and that needs all ``columns``.
+
+    It keeps them in every use of the aggregate, so that all uses are alike and share one shuffle.
+    """
+    holds = F.col("_rows") > 0
+    for name in columns:
+        holds = holds | F.col(name).isNotNull()
+    return aggregate.where(holds)
+
+
 def heavy_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Of ``counts`` (keys and their number of rows), the keys to cut and their number of slices."""
     total = counts.agg(F.sum("_rows").alias("_total"))

@@ -8,19 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.versions import BUCKET_LENGTH, is_preview, is_stable, is_version, version_key
-from tidemark.operators.spread import spread_join
+from tidemark.operators.spread import shared, spread_join
 
 
 def _versions(df: DataFrame, group: Sequence[str], version: str) -> DataFrame:
     """Distinct versions per group with the sort key and the number of rows of each.
 
     The key is worked out after copies are gone, and a group's copies are gone before its rows meet.
-    The first filter is on the version, as one on the key would be pushed down and work it out for every
-    row. The second one always holds: it keeps the count in every use of this table, so that all uses
-    have the same columns and share one shuffle.
+    The filter is on the version: one on the key would be pushed down and work it out for every row.
     """
     copies = df.where(is_version(F.col(version))).groupBy(*group, version)
-    counts = copies.agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 0)
+    counts = shared(copies.agg(F.count(F.lit(1)).alias("_rows")))
     return counts.withColumn("_key", version_key(F.col(version)))
 
 
