@@ -254,10 +254,8 @@ ORACLE: dict[str, str] = {
         from ({OUTCOMES}) where outcome not in ('already', 'copied')
     """,
     "fleet_failed_list": f"""
-        select day, string_agg(entry, '; ' order by entry) as failed_list
-        from (select day, cast(user_id as string) || ' - ' || outcome as entry
-              from ({OUTCOMES}) where outcome not in ('already', 'copied'))
-        group by day
+        select day, cast(user_id as string) || ' - ' || outcome as entry
+        from ({OUTCOMES}) where outcome not in ('already', 'copied')
     """,
     "latest_version_preview_first": _latest_version(
         "releases", "releases", f"case when regexp_matches(version, '[abrc]') then 2 when {STABLE} then 1 end"
