@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from tidemark.operators import sync
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import publish
 from tidemark.sources.tables import load
 
@@ -18,9 +18,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     for unwanted in ("EvalPython", "CartesianProduct", "NestedLoopJoin", "MapInPandas", "FlatMapGroups"):
         assert unwanted not in text, unwanted
     assert not unpartitioned_windows(text)
@@ -39,11 +39,11 @@ def test_an_unpartitioned_window_is_seen(spark):
 
 
 def test_scans_read_only_what_is_needed(spark):
-    text = plan(queries()["sync_plan"](spark, FOLDER))
+    text = plan(QUERIES["sync_plan"](spark, FOLDER))
     assert "o_orderpriority" in text  # the old snapshot filters on it
     reads = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert reads and not any("o_orderdate" in r and "o_orderpriority" in r for r in reads)
-    pushed = plan(queries()["allow_list_filter"](spark, FOLDER))
+    pushed = plan(QUERIES["allow_list_filter"](spark, FOLDER))
     assert re.search(r"PushedFilters: \[[^]]*In\(event_type", pushed)
 
 
@@ -68,6 +68,6 @@ def test_restoring_prunes_other_snapshots(spark, tmp_path):
 @pytest.mark.parametrize("name", ["version_sort", "longest_ok_prefix", "priority_fallback"])
 def test_rows_are_counted_in_the_one_pass_that_aggregates(spark, settings, name):
     settings(spark__sql__adaptive__enabled="false")
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     # once for the aggregate that all uses share, once for the rows
     assert text.count("FileScan parquet") == 2

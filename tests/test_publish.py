@@ -1,3 +1,4 @@
+import tempfile
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ class Session:
 def test_scratch_follows_the_setting():
     shared = {"spark.checkpoint.dir": "hdfs:///shared/place/"}
     assert scratch_path(Session("yarn", **shared), "x").startswith("hdfs:///shared/place/x-")
-    assert scratch_path(Session("local[2]"), "x").startswith("/tmp/")
+    assert scratch_path(Session("local[2]"), "x").startswith(tempfile.gettempdir() + "/")
     with pytest.raises(ValueError):
         scratch_path(Session("yarn"), "x")
 

