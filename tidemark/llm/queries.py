@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, ascii_lower, whole
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.simhash import near_dedup
 from tidemark.llm.warc import warc_round_trip
 from tidemark.scratch import scratch_path
 from tidemark.sources.tables import load
@@ -30,6 +31,13 @@ def op2_exact_dedup(spark, folder):
     return exact_dedup(docs, "doc_id", "text", {"text_sha256": digest})
 
 
+@query
+def op5_simhash_near_dedup(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = near_dedup(docs, "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op6_warc(spark, folder):
     (pages,) = load(spark, folder, "pages")
