@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.common import WORD, ascii_lower, whole
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix_sources
@@ -44,6 +46,18 @@ def op6_warc(spark, folder):
     return warc_round_trip(pages, "page_id", "url", "html", scratch_path(spark, "warc"))
 
 
+@query
+def op8_bpe(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = bpe_encode(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def words(text):
     """Number of words of a text; a null text has none."""
     return F.regexp_count(whole(text), F.lit(WORD))
