@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.common import WORD, ascii_lower, whole
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.language_id import fit_languages, predict_languages
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.simhash import near_dedup
 from tidemark.llm.warc import warc_round_trip
@@ -26,6 +27,20 @@ def query(function: Query) -> Query:
     return function
 
 
+def language_model(docs):
+    """Fitted on rows outside the held-out quarter, drawn by a hash of the text."""
+    learn = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return fit_languages(learn, "text", "lang", F.xxhash64("text"))
+
+
+@query
+def op1_language_id(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = predict_languages(docs, "doc_id", "text", language_model(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_exact_dedup(spark, folder):
     (docs,) = load(spark, folder, "documents")
