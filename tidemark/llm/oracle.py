@@ -18,6 +18,26 @@ ORACLE = {
                case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
         from f
     """,
+    "op7_line_dedup": """
+        with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+        l as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as line from s),
+        t as (select * from l where trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    ')) <> ''),
+        f as (select line, min({'d': doc_id, 'p': pos}) as first from t group by line),
+        n as (select line, first, unnest(range(1, length(line) + 1)) as cut from f where length(line) >= 20),
+        v as (select line, first, cut, hash(left(line, cut - 1) || substr(line, cut + 1)) as variant from n),
+        w as (select hash(line) as variant, line, first from f where length(line) >= 20),
+        e as (
+            select line from (select line, first, min(first) over (partition by variant, cut) as least from v)
+            where least < first
+            union select v.line from v join w using (variant) where w.first < v.first
+            union select w.line from v join w using (variant) where v.first < w.first),
+        r as (select t.doc_id, t.pos, {'d': t.doc_id, 'p': t.pos} <> f.first as copy, e.line is not null as near
+              from t join f on t.line = f.line left join e on t.line = e.line)
+        select s.doc_id, any_value(len(parts)) as n_lines, count(*) filter (copy) as copies,
+               count(*) filter (not copy and near) as near_copies,
+               cast(coalesce(sum(pos + 1) filter (copy or near), 0) as bigint) as places
+        from s left join r on s.doc_id = r.doc_id group by s.doc_id
+    """,
     "op10_mix_sources": r"""
         with d as (
             select doc_id, source,

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.common import WORD, ascii_lower, whole
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.graph_index import nearest_neighbours
 from tidemark.llm.language_id import fit_languages, predict_languages
+from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.simhash import near_dedup
 from tidemark.llm.warc import warc_round_trip
@@ -61,6 +63,22 @@ def op6_warc(spark, folder):
     return warc_round_trip(pages, "page_id", "url", "html", scratch_path(spark, "warc"))
 
 
+@query
+def op7_line_dedup(spark, folder):
+    """Per document, what line dedup takes out of it."""
+    (docs,) = load(spark, folder, "documents")
+    removed = repeated_lines(docs, "doc_id", "text")
+    counts = removed.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count_if(F.col("edits") == 0).alias("copies"),
+        F.count_if(F.col("edits") == 1).alias("near_copies"),
+        F.sum(F.col("pos").cast("long") + 1).alias("places"),
+    )
+    lines = docs.select("doc_id", F.size(F.split(whole(F.col("text")), "\n")).cast("long").alias("n_lines"))
+    found = lines.join(counts, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    numbers = [F.coalesce(name, F.lit(0)).alias(name) for name in ("copies", "near_copies", "places")]
+    return found.select("doc_id", "n_lines", *numbers)
+
+
 @query
 def op8_bpe(spark, folder):
     (docs,) = load(spark, folder, "documents")
@@ -73,6 +91,12 @@ def op8_bpe(spark, folder):
     )
 
 
+@query
+def op9_nearest_neighbours(spark, folder):
+    (vectors,) = load(spark, folder, "embeddings")
+    return nearest_neighbours(vectors, "vec_id", "embedding")
+
+
 def words(text):
     """Number of words of a text; a null text has none."""
     return F.regexp_count(whole(text), F.lit(WORD))
