@@ -38,3 +38,13 @@ def ordered(df: DataFrame, *by: Column) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(parts, *by).withColumn("_range", F.spark_partition_id())
     return written(cut, "ordered")
+
+
+def with_ids(docs: DataFrame, key: str) -> DataFrame:
+    """Add ``_id``, a long that tells rows apart: the key if it is an integer of which no two rows have the same,
+    else a number given to the rows, which are then written first so that it does not change."""
+    if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        rows, known, distinct = docs.agg(F.count(F.lit(1)), F.count(key), F.count_distinct(key)).first()
+        if rows == known == distinct:
+            return docs.withColumn("_id", F.col(key).cast("long"))
+    return written(docs.withColumn("_id", F.monotonically_increasing_id()), "numbered")

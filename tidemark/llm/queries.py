@@ -15,6 +15,7 @@ from tidemark.llm.graph_index import nearest_neighbours
 from tidemark.llm.language_id import fit_languages, predict_languages
 from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.passage_dedup import drop_repeats
 from tidemark.llm.simhash import near_dedup
 from tidemark.llm.warc import warc_round_trip
 from tidemark.scratch import scratch_path
@@ -50,6 +51,13 @@ def op2_exact_dedup(spark, folder):
     return exact_dedup(docs, "doc_id", "text", {"text_sha256": digest})
 
 
+@query
+def op4_suffix_array_dedup(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = drop_repeats(docs, "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_simhash_near_dedup(spark, folder):
     (docs,) = load(spark, folder, "documents")
