@@ -13,6 +13,7 @@ from tidemark.llm.common import WORD, ascii_lower, whole
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.graph_index import nearest_neighbours
 from tidemark.llm.language_id import fit_languages, predict_languages
+from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.passage_dedup import drop_repeats
@@ -51,6 +52,16 @@ def op2_exact_dedup(spark, folder):
     return exact_dedup(docs, "doc_id", "text", {"text_sha256": digest})
 
 
+@query
+def op3_license_scans(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = scan_licenses(docs, "doc_id", "text")
+    names = F.array_sort(F.array_distinct(F.col("licenses.license")))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_notices"), F.array_join(names, ",").alias("licenses")
+    )
+
+
 @query
 def op4_suffix_array_dedup(spark, folder):
     (docs,) = load(spark, folder, "documents")
