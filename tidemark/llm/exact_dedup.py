@@ -21,7 +21,7 @@ def exact_dedup(docs: DataFrame, key: str, text: str, carry: Mapping[str, Column
     first PREFIX_CHARS characters with another row are hashed in full.
 
     A null text is empty, and empty texts are equal. A null key counts as the smallest; a group of null
-    keys only has a null keep_id and keeps all its rows. Rows that repeat the key that stays are all kept.
+    keys only has a null keep_id. One row of each group is kept, also if its key is repeated or null.
     Other columns of ``docs``, whatever their names, are ignored. An empty table gives no rows.
     """
     carry = dict(carry or {})
@@ -50,21 +50,24 @@ def exact_dedup(docs: DataFrame, key: str, text: str, carry: Mapping[str, Column
         hashed = rows.withColumn("_full", full).drop("_body")
         alike = spread_join(hashed, prefixes, on, "left", ["_key", "_full"])
         alike = alike.withColumn("_full", F.when(F.col("_alike"), F.col("_full")))
-    alike = written(alike.select("_key", "_length", "_full", *carried), "dedup-rows")
+    # the number, written with the rows, tells apart those that repeat a key
+    numbered = alike.select("_key", "_length", "_full", *carried, F.monotonically_increasing_id().alias("_row"))
+    alike = written(numbered, "dedup-rows")
 
     twins = alike.where(F.col("_full").isNotNull())
-    groups = twins.groupBy("_length", "_full").agg(F.max("_key").alias("_keep"), F.count(F.lit(1)).alias("_rows"))
+    groups = twins.groupBy("_length", "_full").agg(F.max(F.struct("_key", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_rows"))
     counts = groups.select("_length", "_full", "_rows")
     in_groups = spread_join(twins, groups, ["_length", "_full"], "inner", ["_key"], counts)
     alone = alike.where(F.col("_full").isNull())
-    columns = ["_key", "_keep", "_rows", *carried]
+    columns = ["_key", "_row", "_keep", "_rows", *carried]
+    itself = F.struct("_key", "_row").alias("_keep")
     found = in_groups.select(*columns).unionByName(
-        alone.select("_key", F.col("_key").alias("_keep"), F.lit(1).cast("long").alias("_rows"), *carried)
+        alone.select("_key", "_row", itself, F.lit(1).cast("long").alias("_rows"), *carried)
     )
     return found.select(
         F.col("_key").alias(key),
-        F.col("_keep").alias("keep_id"),
+        F.col("_keep._key").alias("keep_id"),
         F.col("_rows").alias("group_size"),
-        F.col("_key").eqNullSafe(F.col("_keep")).alias("kept"),
+        (F.col("_row") == F.col("_keep._row")).alias("kept"),
         *[F.col(f"_c_{name}").alias(name) for name in carry],
     )
