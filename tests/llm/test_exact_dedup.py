@@ -1,0 +1,40 @@
+import hashlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.operators import spread
+
+
+def test_groups(spark, table, monkeypatch):
+    texts = ["Abc", "aBC", "ÀB", "àb", "ab", None, "", "x" * 300, "x" * 299 + "y", "X" * 300, "ab "]
+    docs = table(*[(i, t) for i, t in enumerate(texts)])
+    digest = F.sha2("text", 256)
+    lower = {c: c + 32 for c in range(65, 91)}
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[(t or "").translate(lower)].append(i)
+    want = sorted(
+        (i, max(g), len(g), i == max(g), None if texts[i] is None else hashlib.sha256(texts[i].encode()).hexdigest())
+        for g in groups.values() for i in g
+    )
+    for bound in (spread.BROADCAST_ROWS, 0):  # both ways to join
+        monkeypatch.setattr(spread, "BROADCAST_ROWS", bound)
+        got = exact_dedup(docs, "doc_id", "text", {"digest": digest})
+        assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "digest"]
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_awkward(awkward):
+    rows = exact_dedup(awkward, "doc_id", "text").collect()
+    assert len(rows) == awkward.count()
+    assert sum(r.kept for r in rows) == 8
+    assert [(r.keep_id, r.group_size, r.kept) for r in rows if r.doc_id == 2] == [(2, 3, True)]
+    assert sorted((r.group_size, r.kept) for r in rows if r.doc_id == 7) == [(1, True), (2, False), (2, True)]
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_small(table, n):
+    assert exact_dedup(table(*[(1, None)] * n) if n else table((1, "a")).where("false"), "doc_id", "text").count() == n
