@@ -40,8 +40,21 @@ def test_order_is_that_of_the_sort_command(spark):
     assert in_order(spark, sorted(versions)) == out.stdout.split()
 
 
-def test_numbers_beyond_18_digits_and_words_are_no_versions(spark):
-    assert in_order(spark, ["1." + "9" * 19, "latest", "", "1." + "9" * 18, "2"]) == ["1." + "9" * 18, "2"]
+def test_long_numbers_in_the_order_of_the_sort_command(spark):
+    pick = random.Random(8)
+    number = lambda: "0" * pick.choice([0, 0, 1, 5]) + "".join(pick.choice("0123456789") for _ in range(pick.randint(1, 60)))
+    versions = {".".join(number() for _ in range(pick.choice([1, 2, 3]))) + pick.choice(["", "", "a1", "-rc", "~x"]) for _ in range(300)}
+    versions |= {f"1.{'9' * n}" for n in range(1, 61)} | {f"1.1{'0' * n}" for n in range(60)}
+    out = subprocess.run(["sort", "-V"], input="\n".join(versions) + "\n", capture_output=True, text=True, env={"LC_ALL": "C"})
+    assert in_order(spark, sorted(versions)) == out.stdout.split()
+
+
+def test_words_are_no_versions(spark):
+    assert in_order(spark, ["latest", "", "v2.0.0", "2"]) == ["2"]
+
+
+def test_a_version_with_a_stamp_counts(spark):
+    assert latest(spark, ["1.0.0.12345678901234567890", "1.0.0.12345678901234567889"], "stable_first") == "1.0.0.12345678901234567890"
 
 
 def latest(spark, versions, policy):

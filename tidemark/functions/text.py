@@ -128,12 +128,9 @@ def comment_out_lines(
 ) -> DataFrame:
     """Put ``mark`` before each line that matches. Marked lines are left alone unless ``idempotent=False``."""
     unmarked = f"(?!{_quoted(mark)})" if idempotent else ""
-    return df.withColumn(
-        text,
-        F.regexp_replace(
-            F.col(text), rf"(?md)^{unmarked}(?=.*?(?:{pattern}))", _as_replacement(mark)
-        ),
-    )
+    # most texts have no such line, which a plain search finds sooner
+    marked = F.regexp_replace(F.col(text), rf"(?md)^{unmarked}(?=.*?(?:{pattern}))", _as_replacement(mark))
+    return df.withColumn(text, F.when(F.col(text).rlike(f"(?md){pattern}"), marked).otherwise(F.col(text)))
 
 
 def replace_or_append_kv(

@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 STABLE = r"^[0-9]+[.][0-9]+[.][0-9]+\z"
 PREVIEW = "[abrc]"
 
-# Numbers in a sort key are as long as the longest bigint that is safe to compare.
-DIGITS = 18
+# Width of the length that is put before each number in a sort key: enough for any string
+LENGTH_DIGITS = 10
 # A tilde sorts before the end of the text, the end before digits and letters, these before signs.
 SIGNS = "~+-.:_"
 SIGN_CODES = "\x01\x7b\x7c\x7d\x7e\x7f"
 END_CODE = "\x02"
-# Length of the key's part that holds the first two numbers and the thousands of the third
-BUCKET_LENGTH = 3 * DIGITS + 2 - 3
 
 
 def is_version(version: Column) -> Column:
-    """Starts with a number, and no number has more than 18 digits."""
-    return version.isNotNull() & version.rlike("^[0-9]") & ~version.rlike(f"[0-9]{{{DIGITS + 1}}}")
+    """Starts with a number."""
+    return version.isNotNull() & version.rlike("^[0-9]")
 
 
 def is_stable(version: Column) -> Column:
@@ -35,10 +33,15 @@ def is_preview(version: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Text that sorts, byte by byte, as versions do in ``sort -V``.
 
-    All numbers are padded to the same length, signs are moved behind letters, and the version itself
-    settles what is left (``1.01`` and ``1.1``). A bare version comes before its suffixed ones. Right
-    for all that ``is_version``.
+    Each number, however long, is led by its number of digits; signs are moved behind letters, and the
+    version itself settles what is left (``1.01`` and ``1.1``). A bare version comes before its suffixed
+    ones. Right for all that ``is_version``.
     """
-    longer = F.regexp_replace(version, "([0-9]+)", "0" * DIGITS + "$1")
-    padded = F.regexp_replace(longer, f"[0-9]+?([0-9]{{{DIGITS}}})(?![0-9])", "$1")
-    return F.concat(F.translate(padded, SIGNS, SIGN_CODES), F.lit(END_CODE), version)
+
+    def led(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
+        number = F.concat(F.lpad(F.length(digits).cast("string"), LENGTH_DIGITS, "0"), digits)
+        return F.when(part.rlike("^[0-9]"), number).otherwise(F.translate(part, SIGNS, SIGN_CODES))
+
+    parts = F.regexp_extract_all(version, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.concat(F.array_join(F.transform(parts, led), ""), F.lit(END_CODE), version)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.versions import BUCKET_LENGTH, is_preview, is_stable, is_version, version_key
+from tidemark.functions.versions import is_preview, is_stable, is_version, version_key
+from tidemark.operators.ranges import cut_in_ranges
 from tidemark.operators.spread import shared, spread_join
 
 
@@ -35,6 +36,7 @@ def latest_version(df: DataFrame, group: Sequence[str], version: str, policy: st
 
     ``preview_first``: the greatest preview, else the greatest stable one, nothing else.
     ``stable_first``: the greatest stable one, else the greatest of any kind.
+    Text that does not start with a digit is no version.
     """
     ranked = _versions(df, group, version).withColumn("_rank", _policy_rank(F.col(version), policy))
     if policy == "preview_first":
@@ -50,24 +52,23 @@ def distinct_versions(df: DataFrame, group: Sequence[str], version: str) -> Data
 def version_sort(df: DataFrame, group: Sequence[str], version: str, spread_by: Sequence[str]) -> DataFrame:
     """Add ``rank``, the place of a row's version among its group's versions in natural order.
 
-    Equal versions share a place; it is null for rows without a group or with text that is no version.
-    Ranks are counted in buckets, then shifted by what the lower buckets hold, so that no window covers
-    all versions of a group. A bucket is major, minor and a thousand patches: the start of the key.
+    Equal versions share a place; it is null for rows without a group or with text that is no version
+    (versions start with a digit). Distinct versions are cut into ranges by their number, ranked within a
+    range, and shifted by what the group has in lower ranges, so that no window covers a whole group.
     """
     group = list(group)
-    # never null, and known not to be: or the joins below would check it for every row of ``df``
-    bucket = F.coalesce(F.substring("_key", 1, BUCKET_LENGTH), F.lit("")).alias("_bucket")
-    versions = _versions(df, group, version).select(*group, version, "_rows", "_key", bucket)
-    within = Window.partitionBy(*group, "_bucket").orderBy("_key")
-    lower = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    distinct = _versions(df, group, version).select(*group, version, "_rows", "_key")
+    versions = cut_in_ranges(distinct, *map(F.col, group), F.col("_key"))
+    within = Window.partitionBy(*group, "_range").orderBy("_key")
+    lower = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        versions.groupBy(*group, "_bucket")
+        versions.groupBy(*group, "_range")
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*group, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
+        .select(*group, "_range", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_shift"))
     )
     ranks = (
         versions.withColumn("_place", F.row_number().over(within))
-        .join(shift, [*group, "_bucket"])
+        .join(shift, [*group, "_range"])
         .select(*group, version, (F.col("_place") + F.col("_shift")).alias("rank"))
     )
     counts = versions.select(*group, version, "_rows")
