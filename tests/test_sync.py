@@ -101,7 +101,7 @@ def test_fanout(spark):
     items = spark.createDataFrame(
         [("conf/spark", "spark", True), ("conf/hadoop", "hadoop", False)], "item string, type string, present boolean"
     )
-    out = {(r.target, r.item): r.action for r in sync.fanout_plan(targets, items, ["spark", "hadoop"]).collect()}
+    out = {(r.target, r.item): r.action for r in sync.fanout_plan(targets, items).collect()}
     assert out == {
         ("w1", "conf/spark"): "sync",
         ("w1", "conf/hadoop"): "skip_missing_source",
@@ -110,6 +110,42 @@ def test_fanout(spark):
     }
 
 
+def test_fanout_of_what_is_not_known(spark):
+    targets = spark.createDataFrame([("w1", None, "all"), ("w2", True, "all"), ("w3", True, None)], "target string, available boolean, wanted string")
+    items = spark.createDataFrame([("a", None, True), ("b", "new", None)], "item string, type string, present boolean")
+    out = {(r.target, r.item): r.action for r in sync.fanout_plan(targets, items).collect()}
+    assert out == {
+        ("w1", "a"): "skip_unreachable", ("w1", "b"): "skip_unreachable",
+        ("w2", "a"): "sync", ("w2", "b"): "skip_missing_source",
+    }
+
+
+def test_null_keys(spark):
+    rows = [(None, 1, "x"), (1, None, "y"), (1, 1, "z"), (None, None, "w")]
+    x = spark.createDataFrame(rows, "a long, b long, v string")
+    key = ["a", "b"]
+    assert {r.action for r in sync.sync_plan(x, x, key).collect()} == {"skip"}
+    plan = {(r.a, r.b): r.action for r in sync.sync_plan(x, x.where("b is null"), key).collect()}
+    assert plan == {(None, 1): "create", (1, None): "skip", (1, 1): "create", (None, None): "skip"}
+    assert sync.sync_apply(x, x, key, "additive").count() == 4
+    assert sync.missing_items(x, x, key).count() == 0
+    once = sync.insert_if_absent(x.where("a is null"), x, key, ["v"])
+    assert sorted(map(repr, sync.insert_if_absent(once, x, key, ["v"]).collect())) == sorted(map(repr, x.collect()))
+
+
+def test_null_groups(spark):
+    rows = [(None, i, i != 5, i % 3) for i in range(9)] + [("g", i, True, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, seq long, ok boolean, p long")
+    assert dict(map(tuple, sequences.longest_ok_prefix(df, ["g"], "seq", F.col("ok")).collect())) == {None: 4, "g": 2}
+    best = sequences.priority_fallback(df, ["g"], "p", F.col("seq") > 0, ["seq"]).collect()
+    assert sorted((r.g or "", r.seq) for r in best) == [("", 3), ("", 6), ("g", 1), ("g", 2)]
+    outcomes = df.select("g", F.col("seq").cast("string").alias("node"), F.when(F.col("ok"), "copied").alias("outcome"))
+    (page,) = status.fleet_failed_list(outcomes, ["g"], ["node"], ["copied"], 1).collect()
+    assert (page.g, page.failed_list) == (None, ["5 - unknown"])
+    both = status.fleet_failed_list(outcomes, ["g", "node"], ["node"], ["copied"], 3).collect()
+    assert [(r.g, r.node, r.failed_list) for r in both] == [(None, "5", ["5 - unknown"])]
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_networks(spark, monkeypatch, few):
     if not few:
@@ -129,6 +165,12 @@ def test_networks(spark, monkeypatch, few):
     assert {r.id: r.cidr for r in longest.collect()} == {
         0: "10.1.2.3/32", 1: "10.1.2.77/24", 2: "10.0.0.0/8", 3: "0.0.0.0/0",
     }
+    # each row counts by itself
+    again = spark.createDataFrame([(1, "10.1.2.3"), (1, "10.9.9.9"), (2, "10.1.2.3"), (2, "10.1.2.3")], "id long, ip string")
+    rows = containment.cidr_match(again, networks, "id", "ip", "cidr", longest=True).collect()
+    assert sorted((r.id, r.cidr) for r in rows) == [
+        (1, "10.0.0.0/8"), (1, "10.1.2.3/32"), (2, "10.1.2.3/32"), (2, "10.1.2.3/32"),
+    ]
 
 
 def test_gates_and_summary(spark):
@@ -158,7 +200,7 @@ def test_gates_and_summary(spark):
     assert [tuple(r) for r in summary] == [
         ("d1", 4, 2, 2, "partial"), ("d2", 1, 0, 1, "failed"), ("d3", 1, 1, 0, "all"),
     ]
-    lists = status.fleet_failed_list(out, ["day"], ["node"], ok).orderBy("day").collect()
+    lists = status.fleet_failed_list(out, ["day"], ["node"], ok, 1).orderBy("day").collect()
     assert [(r.day, r.page, r.failed_list) for r in lists] == [
         ("d1", 0, ["w2 - port closed", "w3 - unreachable"]), ("d2", 0, ["w1 - copy failed"]),
     ]

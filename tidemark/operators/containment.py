@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.addresses import address_number, is_address, is_network, network_base, network_parts
-from tidemark.operators.spread import fits_broadcast, lookup_join
+from tidemark.operators.spread import lookup_join, spread_join
 
 
 def _known(networks: DataFrame, cidr: str) -> DataFrame:
@@ -24,37 +24,21 @@ def cidr_match(
 ) -> DataFrame:
     """(id, ip, cidr) for each network that contains the address; with ``longest`` only the narrowest.
 
-    Containment becomes an equi-join: an address is masked once per prefix length in use (33 at most)
-    and looked up by (length, masked address). Networks are given by any address in them.
+    Each input row counts by itself, also where ids or addresses repeat. Containment becomes an equi-join:
+    each distinct address is masked once per prefix length in use (33 at most) and looked up by (length,
+    masked address). Networks are given by any address in them; of two that are the same network but
+    written differently, ``longest`` takes the greater text.
     """
     known = _known(networks, cidr)
-    numbered = addresses.where(is_address(F.col(ip))).select(
-        id, ip, address_number(F.col(ip)).alias("_number")
-    )
-    if longest and fits_broadcast(known):
-        return _narrowest_of_few(numbered, known).select(id, ip, "cidr")
     lengths = known.agg(F.collect_set("_length"))  # no more than 33 values
-    masked = numbered.withColumn("_length", F.explode(lengths.scalar())).select(
-        id, ip, "_length", network_base(F.col("_number"), F.col("_length")).alias("_base")
+    asked = addresses.where(is_address(F.col(ip))).select(id, ip)
+    counts = asked.groupBy(ip).agg(F.count(F.lit(1)).alias("_rows"))
+    masked = (
+        counts.select(ip, address_number(F.col(ip)).alias("_number"))
+        .withColumn("_length", F.explode(lengths.scalar()))
+        .select(ip, "_length", network_base(F.col("_number"), F.col("_length")).alias("_base"))
     )
-    found = lookup_join(masked, known, ["_length", "_base"], "inner", [id])
-    if not longest:
-        return found.select(id, ip, "cidr")
-    best = found.groupBy(id).agg(F.max_by(F.struct(ip, "cidr"), F.struct("_length", "cidr")).alias("_best"))
-    return best.select(id, f"_best.{ip}", "_best.cidr")
-
-
-def _narrowest_of_few(numbered: DataFrame, known: DataFrame) -> DataFrame:
-    """One broadcast join per prefix length, longest first: the addresses are not shuffled."""
-    found = numbered.withColumn("cidr", F.lit(None).cast("string"))
-    lengths = [row[0] for row in known.select("_length").distinct().collect()]  # no more than 33
-    for length in sorted(lengths, reverse=True):
-        of_length = known.where(F.col("_length") == length).groupBy("_base").agg(F.max("cidr").alias("_cidr"))
-        base = network_base(F.col("_number"), F.lit(length))
-        found = (
-            found.withColumn("_base", base)
-            .join(F.broadcast(of_length), ["_base"], "left")
-            .withColumn("cidr", F.coalesce("cidr", "_cidr"))
-            .drop("_base", "_cidr")
-        )
-    return found.where(F.col("cidr").isNotNull())
+    found = lookup_join(masked, known, ["_length", "_base"], "inner", [ip])
+    if longest:
+        found = found.groupBy(ip).agg(F.max_by("cidr", F.struct("_length", "cidr")).alias("cidr"))
+    return spread_join(asked, found.select(ip, "cidr"), [ip], "inner", [id], counts).select(id, ip, "cidr")

@@ -59,9 +59,9 @@ def case_map(
     """
     if isinstance(mapping, DataFrame):
         value, result = mapping.columns
-        table = mapping.select(F.col(value).alias(col), F.col(result).alias(out))
+        table = mapping.select(F.col(value).alias(col), F.col(result).alias("_mapped"))
         joined = lookup_join(df, table, [col], "left", spread_by or df.columns)
-        return joined.select(*df.columns, F.coalesce(out, F.lit(default)).alias(out))
+        return joined.withColumn(out, F.coalesce("_mapped", F.lit(default))).drop("_mapped")
     mapped = F.lit(default)
     for result, values in mapping.items():
         mapped = F.when(F.col(col).isin(list(values)), F.lit(result)).otherwise(mapped)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.spread import shared, spread_join
+from tidemark.operators.spread import null_safe_spread_join, shared
 
 # Lines handled by one window; a long document is cut into chunks of this many.
 CHUNK_LINES = 65_536
@@ -42,7 +42,7 @@ def longest_ok_prefix(df: DataFrame, group: Sequence[str], seq: str, ok: Column)
     """Per group the largest ``seq`` reached before the first failure; null if the first one fails.
 
     The first failure of each group is found by aggregation and joined back on, heavy groups in slices.
-    ``seq`` is unique within a group; a null ``ok`` counts as a failure.
+    ``seq`` is unique within a group; a null ``ok`` counts as a failure, a null group is one like any other.
     """
     probes = df.select(*group, F.col(seq).alias("_seq"), F.coalesce(ok, F.lit(False)).alias("_ok"))
     stops = probes.groupBy(*group).agg(
@@ -50,20 +50,22 @@ def longest_ok_prefix(df: DataFrame, group: Sequence[str], seq: str, ok: Column)
     )
     stops = shared(stops, "_stop")
     before = F.col("_stop").isNull() | (F.col("_seq") < F.col("_stop"))
-    joined = spread_join(probes.drop("_ok"), stops, group, "inner", ["_seq"], stops.select(*group, "_rows"))
+    counts = stops.select(*group, "_rows")
+    joined = null_safe_spread_join(probes.drop("_ok"), stops, group, "inner", ["_seq"], counts)
     return joined.groupBy(*group).agg(F.max(F.when(before, F.col("_seq"))).alias("last_ok"))
 
 
 def priority_fallback(
     df: DataFrame, group: Sequence[str], priority: str, eligible: Column, spread_by: Sequence[str]
 ) -> DataFrame:
-    """Eligible rows of the first source, by ``priority``, that has any; per group."""
+    """Eligible rows of the first source, by ``priority``, that has any; per group, null being one too."""
     candidates = df.where(eligible)
     best = candidates.groupBy(*group).agg(
         F.min(priority).alias("_best"), F.count(F.lit(1)).alias("_rows")
     )
     best = shared(best).where(F.col("_best").isNotNull())
-    joined = spread_join(candidates, best, group, "inner", spread_by, best.select(*group, "_rows"))
+    counts = best.select(*group, "_rows")
+    joined = null_safe_spread_join(candidates, best, group, "inner", spread_by, counts)
     return joined.where(F.col(priority) == F.col("_best")).select(*df.columns)
 
 

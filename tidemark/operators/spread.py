@@ -44,13 +44,15 @@ def shared(aggregate: DataFrame, *columns: str) -> DataFrame:
 
 
 def heavy_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Of ``counts`` (keys and their number of rows), the keys to cut and their number of slices."""
+    """Of ``counts`` (keys and their number of rows), the hashes of keys to cut and their number of slices."""
     total = counts.agg(F.sum("_rows").alias("_total"))
     rows = F.greatest(total.scalar() / F.lit(float(SLICES)), F.lit(float(SLICE_ROWS)))  # of one slice
     return (
         counts.withColumn("_cut", F.ceil(F.col("_rows") / rows).cast("long"))
         .where(F.col("_cut") > HEAVY)
-        .select(*on, "_cut")
+        # two numbers a key, however long it is; keys that share a hash are cut alike on both sides
+        .groupBy(F.xxhash64(*on).alias("_heavy"))
+        .agg(F.max("_cut").alias("_cut"))
     )
 
 
@@ -81,19 +83,39 @@ def spread_join(
     row_hash = F.xxhash64(*spread_by)
     # a row without a key matches nothing, so it may go to any slice
     pieces: Column = F.when(no_key, SLICES).otherwise(F.coalesce("_cut", F.lit(1)))
+    hashed = F.xxhash64(*on)
     cut_left = (
-        left.join(heavy, on, "left")
+        left.withColumn("_heavy", hashed)
+        .join(heavy, "_heavy", "left")
         .withColumn("_slice", F.coalesce(F.pmod(row_hash, pieces), F.lit(0)))
-        .drop("_cut")
+        .drop("_heavy", "_cut")
     )
     cut_right = (
-        right.join(heavy, on, "left")
+        right.withColumn("_heavy", hashed)
+        .join(heavy, "_heavy", "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_cut") - 1, F.lit(0)))))
-        .drop("_cut")
+        .drop("_heavy", "_cut")
     )
     return cut_left.join(cut_right, [*on, "_slice"], how).drop("_slice")
 
 
+def null_safe_spread_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str], counts: DataFrame
+) -> DataFrame:
+    """``spread_join`` (inner, left) for which null is a key like any other."""
+    keyed = lambda df: df.withColumn("_on", F.struct(*on))  # noqa: E731  a struct of nulls is not null
+    counted = keyed(counts).select("_on", "_rows")
+    return spread_join(keyed(left), keyed(right).drop(*on), ["_on"], how, spread_by, counted).drop("_on")
+
+
+def null_safe(left: str, right: str, key: Sequence[str]) -> Column:
+    """Condition of a join on ``key`` of two aliased sides for which null is a key like any other."""
+    same = F.lit(True)
+    for name in key:
+        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return same
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str]
 ) -> DataFrame:

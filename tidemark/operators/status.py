@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.spread import spread_join
-
-# Entries aimed at per array of a failed list
-PAGE_ENTRIES = 10_000
-
 
 def gate_classify(
     df: DataFrame, entity: Sequence[str], gates: Sequence[tuple[str, str, Column]], otherwise: str
@@ -61,18 +56,15 @@ def fleet_failures(
 
 
 def fleet_failed_list(
-    classified: DataFrame, group: Sequence[str], entity: Sequence[str], ok: Sequence[str]
+    classified: DataFrame, group: Sequence[str], entity: Sequence[str], ok: Sequence[str], pages: int
 ) -> DataFrame:
     """The failures of each group as sorted arrays: group, ``page``, ``failed_list``.
 
-    A group with up to PAGE_ENTRIES failures has one page. A larger one has as many as it takes for
-    about that many entries each, so that no task holds the whole list of a large group.
+    An entry's page, from 0 to ``pages`` - 1, is a hash of its text, whatever the size of the table; pages
+    without entries are left out. Take enough of them for a page of the largest group to fit one task.
     """
     failures = fleet_failures(classified, group, entity, ok)
-    counts = failures.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    pages = counts.withColumn("_pages", F.ceil(F.col("_rows") / PAGE_ENTRIES).cast("long"))
-    rest = [c for c in entity if c not in group]
-    placed = spread_join(failures, pages.drop("_rows"), group, "inner", rest, counts)
-    page = F.pmod(F.xxhash64(*rest), F.col("_pages")).alias("page")
-    lists = placed.groupBy(*group, page).agg(F.array_sort(F.collect_list("entry")).alias("failed_list"))
+    digest = F.conv(F.substring(F.md5("entry"), 1, 8), 16, 10).cast("long")
+    page = F.pmod(digest, F.lit(pages)).alias("page")
+    lists = failures.groupBy(*group, page).agg(F.array_sort(F.collect_list("entry")).alias("failed_list"))
     return lists.select(*group, "page", "failed_list")

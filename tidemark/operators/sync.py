@@ -4,49 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import path_parts
 from tidemark.operators.sequences import last_wins_kv
-from tidemark.operators.spread import lookup_join, spread_join
+from tidemark.operators.spread import lookup_join, null_safe, spread_join
 
 
 def missing_items(required: DataFrame, present: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys required but not present, each once.
+    """Keys required but not present, each once. A null is a key like any other.
 
-    Both sides shrink to distinct keys before they are joined, so copies of a key cost nothing.
+    Both sides meet in one aggregation, summed map-side, so copies of a key cost nothing.
     """
     key = list(key)
-    return required.select(*key).distinct().join(present.select(*key).distinct(), key, "left_anti")
+    asked = required.select(*key, F.lit(False).alias("_there"))
+    both = asked.unionByName(present.select(*key, F.lit(True).alias("_there")))
+    return both.groupBy(*key).agg(F.bool_or("_there").alias("_there")).where(~F.col("_there")).drop("_there")
 
 
-def fanout_plan(
-    targets: DataFrame, items: DataFrame, types: Sequence[str], every: str = "all"
-) -> DataFrame:
+def fanout_plan(targets: DataFrame, items: DataFrame, every: str = "all") -> DataFrame:
     """Each target with each item of the type it wants, and what to do about it.
 
-    ``targets``: target (unique), available, wanted (one of ``types``, or ``every`` for all of them).
-    ``items``: item, type, present. Action: ``sync``, ``skip_unreachable`` or ``skip_missing_source``.
+    ``targets``: target (unique), available, wanted (a type, or ``every`` for items of any type or none).
+    ``items``: item, type, present. Action: ``sync``, ``skip_unreachable`` or ``skip_missing_source``. What
+    is not known to be available or present is not.
     """
-    wanted = F.when(F.col("wanted") == every, F.array(*map(F.lit, types))).otherwise(F.array("wanted"))
-    asked = targets.select("target", "available", F.explode(wanted).alias("type"))
-    pairs = lookup_join(asked, items, ["type"], "inner", ["target"])
+    offered = F.explode(F.array_distinct(F.array(F.col("type"), F.lit(every)))).alias("wanted")
+    pairs = lookup_join(targets, items.select("item", "present", offered), ["wanted"], "inner", ["target"])
     action = (
-        F.when(~F.col("available"), "skip_unreachable")
-        .when(~F.col("present"), "skip_missing_source")
+        F.when(~F.coalesce("available", F.lit(False)), "skip_unreachable")
+        .when(~F.coalesce("present", F.lit(False)), "skip_missing_source")
         .otherwise("sync")
     )
     return pairs.select("target", "item", action.alias("action"))
 
 
-def _same(columns: Sequence[str], left: str, right: str) -> Column:
-    same = F.lit(True)
-    for name in columns:
-        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return same
-
-
 def sync_plan(
     source: DataFrame,
     target: DataFrame,
@@ -57,7 +50,7 @@ def sync_plan(
     """Difference of two snapshots, each unique by ``key``: key and ``action``.
 
     ``create``, ``update``, ``skip``, and for keys only in the target ``delete`` (mirror) or ``keep``
-    (additive). ``compare`` defaults to all other columns that both sides have.
+    (additive). ``compare`` defaults to all other columns that both sides have. A null is a key like any other.
     """
     if mode not in ("mirror", "additive"):
         raise ValueError(f"unknown mode: {mode}")
@@ -69,19 +62,20 @@ def sync_plan(
     action = (
         F.when(F.col("t._in").isNull(), "create")
         .when(F.col("s._in").isNull(), "delete" if mode == "mirror" else "keep")
-        .when(_same(compare, "s", "t"), "skip")
+        .when(null_safe("s", "t", compare), "skip")
         .otherwise("update")
     )
-    return s.join(t, key, "full_outer").select(*key, action.alias("action"))
+    keys = [F.when(F.col("s._in"), F.col(f"s.{name}")).otherwise(F.col(f"t.{name}")).alias(name) for name in key]
+    return s.join(t, null_safe("s", "t", key), "full_outer").select(*keys, action.alias("action"))
 
 
 def sync_apply(source: DataFrame, target: DataFrame, key: Sequence[str], mode: str = "mirror") -> DataFrame:
-    """The target as it is after the plan."""
+    """The target as it is after the plan. A null is a key like any other."""
     if mode == "mirror":
         return source.select(*target.columns)
     if mode != "additive":
         raise ValueError(f"unknown mode: {mode}")
-    kept = target.join(source.select(*key), list(key), "left_anti")
+    kept = target.alias("t").join(source.select(*key).alias("s"), null_safe("t", "s", key), "left_anti")
     return source.select(*target.columns).unionByName(kept)
 
 
@@ -160,6 +154,8 @@ def insert_if_absent(
 ) -> DataFrame:
     """``existing`` and those incoming rows whose key it lacks, one per key. Running it again adds nothing.
 
+    A null is a key like any other.
+
     Where rows hold more than the key, ``order`` (unique) says which incoming row of a key is taken.
     """
     key = list(key)
@@ -171,5 +167,5 @@ def insert_if_absent(
         new = incoming.groupBy(*key).agg(first).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
     else:
         new = incoming.select(*key).distinct()
-    new = new.join(existing.select(*key).distinct(), key, "left_anti")
+    new = new.alias("n").join(existing.select(*key).distinct().alias("e"), null_safe("n", "e", key), "left_anti")
     return existing.unionByName(new.select(*existing.columns))
