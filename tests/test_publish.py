@@ -1,4 +1,5 @@
 import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,29 @@ def test_modes(spark, tmp_path):
     publish.write_table(frame(spark, 2), path, "append")
     assert numbers(publish.write_table(frame(spark, 9), path, "create_if_absent")) == [1, 2]
     assert numbers(publish.write_table(frame(spark, 3), path, "overwrite")) == [3]
+    with pytest.raises(ValueError):
+        publish.write_table(frame(spark, 3), path, "ignore")
+
+
+def test_a_table_rewritten_from_itself_keeps_its_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    before = publish.write_table(frame(spark, *range(10)), path, "overwrite")
+    kept = publish.write_table(before.where("n > 2"), path, "overwrite")
+    assert numbers(kept) == list(range(3, 10)) and numbers(before) == list(range(10))
+    publish.snapshot_history(frame(spark, 1, 2), str(tmp_path / "s"), 100)
+    states = publish.history(spark, str(tmp_path / "s"))
+    again = publish.snapshot_history(states.where("n > 1").drop("snapshot_ts"), str(tmp_path / "s"), 100)
+    assert numbers(again) == [2] and numbers(states) == [1, 2]
+    assert dict(again.dtypes)["snapshot_ts"] == "bigint"
+
+
+def test_what_was_not_pointed_to_does_not_count(spark, tmp_path):
+    """A run that was cut off after writing leaves no trace in results."""
+    path = str(tmp_path / "t")
+    publish.write_table(frame(spark, 1), path, "overwrite")
+    frame(spark, 7).write.parquet(f"{path}/data/v=1")
+    assert numbers(publish.published(spark, path)) == [1]
+    assert numbers(publish.write_table(frame(spark, 2), path, "overwrite")) == [2]
 
 
 def test_publish_keeps_the_old_version_when_rules_break(spark, rules, tmp_path):

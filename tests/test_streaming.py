@@ -2,7 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.sync import sync_apply
+from tidemark.sources.publish import read_pointer
 from tidemark.streaming.incremental import (
+    BATCHES,
+    fold_batches,
+    folded_target,
+    start_target,
     stream_insert_if_absent,
     stream_sync_apply,
     stream_synced,
@@ -34,24 +39,27 @@ def run(df, path):
     return query
 
 
-@pytest.mark.parametrize("delay", [None, "40 days"])
-def test_first_of_each_key_once(spark, events, stream, tmp_path, delay):
+def test_first_of_each_key_once(spark, events, stream, tmp_path):
     out = str(tmp_path / "out")
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp"))
-    new = stream_insert_if_absent(timed, ["props"], ["event_id"], "at" if delay else None, delay)
-    query = run(new, out)
+    query = run(stream_insert_if_absent(stream, ["props"], ["event_id"]), out)
     assert len(query.recentProgress) >= 3
     got = [r.props for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got))
     assert set(got) == {r.props for r in events.select("props").distinct().collect()}
     # a second run finds nothing new
-    run(new, out)
+    run(stream_insert_if_absent(stream, ["props"], ["event_id"]), out)
     assert spark.read.parquet(out).count() == len(got)
 
 
-def test_delay_needs_a_time(stream):
-    with pytest.raises(ValueError):
-        stream_insert_if_absent(stream, ["props"], ["event_id"], delay="1 day")
+def test_late_rows_and_existing_ones(spark, tmp_path):
+    """However late its first row is, a key comes through once; one that is there, null too, does not."""
+    path = str(tmp_path / "in")
+    for batch in (["a", "b"], ["b", "z"], ["late", "a", None]):
+        spark.createDataFrame([(k, i) for i, k in enumerate(batch)], "k string, n long").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k string, n long").option("maxFilesPerTrigger", 1).parquet(path)
+    existing = spark.createDataFrame([("z",), (None,)], "k string")
+    run(stream_insert_if_absent(stream, ["k"], ["n"], existing), str(tmp_path / "out"))
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "late"]
 
 
 def test_synced_as_in_one_batch(spark, events, stream, tmp_path):
@@ -65,9 +73,37 @@ def test_synced_as_in_one_batch(spark, events, stream, tmp_path):
     want = sync_apply(last.select("user_id", "r.*"), target, key, "additive")
     expected = sorted(map(repr, want.collect()))
     assert sorted(map(repr, got.collect())) == expected
-    folders = sorted(p.name for p in (tmp_path / "deltas").iterdir() if p.is_dir())
-    assert folders == ["v=0", "v=1", "v=2"]
-    # a batch replayed writes the same folder again
-    spark.read.parquet(f"{deltas}/v=1").write.mode("overwrite").parquet(str(tmp_path / "copy"))
-    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(f"{deltas}/v=1")
-    assert sorted(map(repr, stream_synced(spark, target, deltas, key, order).collect())) == expected
+    assert read_pointer(spark, deltas, BATCHES).count() == 3
+
+
+def test_replays_and_half_batches_change_nothing(spark, tmp_path):
+    deltas, key, order = str(tmp_path / "deltas"), ["k"], ["n"]
+    target = spark.createDataFrame([(1, 0), (2, 0)], "k long, n long")
+    assert stream_synced(spark, target, deltas, key, order).count() == 2  # before the first batch
+    path = str(tmp_path / "in")
+    spark.createDataFrame([(2, 5), (3, 5)], "k long, n long").coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema("k long, n long").parquet(path)
+    stream_sync_apply(stream, deltas, str(tmp_path / "one"), key, order).awaitTermination()
+    synced = stream_synced(spark, target, deltas, key, order)
+    # the same batch once more, as after a lost checkpoint, and a folder that was never pointed to
+    stream_sync_apply(stream, deltas, str(tmp_path / "two"), key, order).awaitTermination()
+    spark.createDataFrame([(1, 9)], "k long, n long").write.parquet(f"{deltas}/data/1-half")
+    for df in (synced, stream_synced(spark, target, deltas, key, order)):
+        assert sorted(map(tuple, df.collect())) == [(1, 0), (2, 5), (3, 5)]
+
+
+def test_folded_batches_are_left_out(spark, events, stream, tmp_path):
+    root, deltas = str(tmp_path / "target"), str(tmp_path / "deltas")
+    columns, key, order = ["user_id", "value", "ts", "event_id"], ["user_id"], ["ts", "event_id"]
+    target = events.select(*columns).where("user_id < 5").dropDuplicates(key)
+    start_target(target, root)
+    stream_sync_apply(stream.select(*columns), deltas, str(tmp_path / "checkpoint"), key, order).awaitTermination()
+    want = sorted(map(repr, stream_synced(spark, target, deltas, key, order).collect()))
+    before, upto = folded_target(spark, root)
+    assert upto == -1
+    assert sorted(map(repr, fold_batches(spark, root, deltas, key, order).collect())) == want
+    now, upto = folded_target(spark, root)
+    assert upto == 2 and before.count() == target.count()
+    assert sorted(map(repr, stream_synced(spark, now, deltas, key, order, upto).collect())) == want
+    fold_batches(spark, root, deltas, key, order)  # nothing new
+    assert folded_target(spark, root)[1] == 2

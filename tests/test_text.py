@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators.sequences import block_spans
-from tidemark.sources.scan import scan_json_index, scan_lines
+from tidemark.sources.scan import scan_json_index, scan_lines, scan_settings
 
 B, E = "# >>> x", "# <<< x"
 
@@ -16,7 +16,16 @@ def edited(spark, bodies, edit):
 def test_lines(spark):
     df = spark.createDataFrame([(1, "a\n\nb\n"), (2, "c"), (3, "")], "id long, t string")
     assert [tuple(row) for row in scan_lines(df, "id", "t").orderBy("id", "pos").collect()] == [
-        (1, 0, "a"), (1, 1, ""), (1, 2, "b"), (2, 0, "c"), (3, 0, ""),
+        (1, 0, "a"), (1, 1, ""), (1, 2, "b"), (2, 0, "c"),
+    ]
+
+
+def test_settings(spark):
+    body = "# a comment\nPort 22\n#Pub yes\n  # Root  no trailing words\nalone\n\tX\ty # z\n"
+    rows = scan_settings(spark.createDataFrame([(1, body), (2, None)], "id long, t string"), "id", "t").collect()
+    assert [(r.pos, r.setting, r.value, r.commented) for r in rows] == [
+        (0, "a", "comment", True), (1, "Port", "22", False), (2, "Pub", "yes", True),
+        (3, "Root", "no", True), (5, "X", "y", False),
     ]
 
 

@@ -10,6 +10,7 @@ TASK_END = "SparkListenerTaskEnd"
 SCHEMA = """
     `Event` string,
     `Stage ID` bigint,
+    `Stage Attempt ID` bigint,
     `Task Info` struct<`Failed`: boolean>,
     `Task Metrics` struct<
         `Executor Run Time`: bigint,
@@ -21,9 +22,9 @@ SCHEMA = """
 
 
 def event_log_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Per (app, stage): tasks, failures, run time, skew, shuffle and spill, from all logs under ``path``.
+    """Per (app, stage, attempt): tasks, failures, run time, skew, shuffle and spill, from all logs under ``path``.
 
-    Plain, rolled and compressed logs are read alike. The application comes from the file's name, or
+    A stage that was run again is an attempt of its own, numbered from 0. Plain, rolled and compressed logs are read alike. The application comes from the file's name, or
     from a folder ``app=<id>`` for logs stored by application.
     """
     lines = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).json(path)
@@ -35,15 +36,17 @@ def event_log_rollup(spark: SparkSession, path: str) -> DataFrame:
     metrics = F.col("`Task Metrics`")
     read = metrics["Shuffle Read Metrics"]
     tasks = lines.where(F.col("Event") == TASK_END).select(
-        app.alias("app"),
+        # Spark gives paths as URIs
+        F.url_decode(F.replace(app, F.lit("+"), F.lit("%2B"))).alias("app"),
         F.col("`Stage ID`").alias("stage"),
+        F.coalesce("`Stage Attempt ID`", F.lit(0)).alias("attempt"),
         F.col("`Task Info`")["Failed"].alias("failed"),
         metrics["Executor Run Time"].alias("run"),
         (read["Remote Bytes Read"] + read["Local Bytes Read"]).alias("read"),
         metrics["Shuffle Write Metrics"]["Shuffle Bytes Written"].alias("written"),
         (metrics["Memory Bytes Spilled"] + metrics["Disk Bytes Spilled"]).alias("spilled"),
     )
-    rolled = tasks.groupBy("app", "stage").agg(
+    rolled = tasks.groupBy("app", "stage", "attempt").agg(
         F.count(F.lit(1)).alias("tasks"),
         F.count_if("failed").alias("failed"),
         F.percentile_approx("run", [0.5, 0.95]).alias("_run"),
@@ -56,6 +59,7 @@ def event_log_rollup(spark: SparkSession, path: str) -> DataFrame:
     return rolled.select(
         "app",
         "stage",
+        "attempt",
         "tasks",
         "failed",
         p50.alias("run_p50"),

@@ -1,7 +1,8 @@
 """Writing tables: plain modes, validated publishing, snapshots.
 
 A path that a plan may read is never overwritten: every version has a folder of its own, and a small
-pointer table says which one counts.
+pointer table says which one counts. A folder that no pointer names was left by a run that did not get to
+its end; the next run writes it again. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -12,26 +13,30 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODES = {"overwrite": "overwrite", "append": "append", "create_if_absent": "ignore"}
+MODES = ("overwrite", "append", "create_if_absent")
 
 
-def write_table(df: DataFrame, path: str, mode: str) -> DataFrame:
-    """Write and read back. ``create_if_absent`` leaves a table that exists as it is."""
-    df.write.mode(MODES[mode]).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def published_version(spark: SparkSession, root: str) -> int | None:
-    """The version in force, or None before the first one was published."""
+def read_pointer(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
+    """The pointer table, or None before the first row of it was written."""
     try:
-        pointer = spark.read.schema("version bigint").parquet(f"{root}/pointer")
-        return pointer.agg(F.max("version")).first()[0]
+        return spark.read.schema(schema).parquet(f"{root}/pointer")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def point(spark: SparkSession, root: str, schema: str, *row) -> None:
+    """Add a row to the pointer table: from now on it counts."""
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def published_version(spark: SparkSession, root: str) -> int | None:
+    """The version in force, or None before the first one was published."""
+    pointer = read_pointer(spark, root, "version bigint")
+    return None if pointer is None else pointer.agg(F.max("version")).first()[0]
+
+
 def published(spark: SparkSession, root: str) -> DataFrame:
     version = published_version(spark, root)
     if version is None:
@@ -39,34 +44,70 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/data/v={version}")
 
 
+def write_table(df: DataFrame, root: str, mode: str) -> DataFrame:
+    """Write and read back. ``overwrite`` writes a new version beside the old one, which may be what ``df``
+    reads; ``append`` adds to the version in force; ``create_if_absent`` leaves a table that exists as it is.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    spark = df.sparkSession
+    now = published_version(spark, root)
+    if now is not None and mode == "append":
+        df.write.mode("append").parquet(f"{root}/data/v={now}")
+    elif now is None or mode == "overwrite":
+        version = 0 if now is None else now + 1
+        df.write.mode("overwrite").parquet(f"{root}/data/v={version}")
+        point(spark, root, "version bigint", version)
+    return published(spark, root)
+
+
 def validated_publish(df: DataFrame, rules: Mapping[str, Column], root: str, version: int) -> DataFrame:
     """Write a candidate, check what was written, and point to it only if every row keeps every rule.
 
-    Otherwise the previous version stays in force. A version not above the one in force was already
-    dealt with (a replay) and is not written again. Returns the version in force.
+    Otherwise the previous version stays in force; the candidate's folder stays too, for a look at it. A
+    version not above the one in force was already dealt with (a replay) and is not written again. Returns
+    the version in force.
     """
     spark = df.sparkSession
     now = published_version(spark, root)
     if now is None or version > now:
-        path = f"{root}/data/v={version}"
-        df.write.mode("overwrite").parquet(path)
         kept = F.lit(True)
         for rule in rules.values():
             kept = kept & F.coalesce(rule, F.lit(False))
+        path = f"{root}/data/v={version}"
+        df.write.mode("overwrite").parquet(path)
         broken = spark.read.parquet(path).agg(F.count_if(~kept)).first()[0]
         if broken == 0:
-            pointer = spark.range(version, version + 1, numPartitions=1).select(F.col("id").alias("version"))
-            pointer.write.mode("append").parquet(f"{root}/pointer")
+            point(spark, root, "version bigint", version)
     return published(spark, root)
 
 
-def snapshot_history(df: DataFrame, path: str, ts: int) -> DataFrame:
-    """Keep ``df`` as the state at epoch second ``ts`` beside all earlier states; returns the history.
+STATES = "snapshot_ts bigint, version bigint"
+
 
-    Each state is one partition, written by overwrite: doing it twice changes nothing.
+def snapshot_history(df: DataFrame, root: str, ts: int) -> DataFrame:
+    """Keep ``df`` as the state at epoch second ``ts`` beside all other states; returns the history.
+
+    A state written again replaces the one of the same ``ts``, in a folder of its own.
     """
-    df.write.mode("overwrite").parquet(f"{path}/snapshot_ts={ts}")
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    pointer = read_pointer(spark, root, STATES)
+    last = pointer.agg(F.max("version")).first()[0] if pointer is not None else None
+    version = 0 if last is None else last + 1
+    df.write.mode("overwrite").parquet(f"{root}/data/snapshot_ts={ts}/v={version}")
+    point(spark, root, STATES, ts, version)
+    return history(spark, root)
+
+
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """All states with their ``snapshot_ts`` (bigint); reading some of them lists and reads only these."""
+    pointer = read_pointer(spark, root, STATES)
+    if pointer is None:
+        raise ValueError(f"no state kept yet at {root}")
+    counting = pointer.groupBy("snapshot_ts").agg(F.max("version").alias("version")).collect()  # a row per state
+    paths = [f"{root}/data/snapshot_ts={row.snapshot_ts}/v={row.version}" for row in counting]
+    states = spark.read.option("basePath", f"{root}/data").parquet(*paths).drop("v")
+    return states.withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
 
 
 def snapshot_latest(history: DataFrame, as_of: int, ts: str = "snapshot_ts") -> DataFrame:

@@ -11,11 +11,24 @@ from tidemark.functions.text import without_last_newline
 
 
 def scan_lines(df: DataFrame, id: str, text: str) -> DataFrame:
-    """Documents to lines: (id, pos from 0, line)."""
-    lines = F.split(without_last_newline(F.col(text)), "\n")
+    """Documents to lines: (id, pos from 0, line). A null or empty text has no lines, as for line tools."""
+    lines = F.split(without_last_newline(F.nullif(F.col(text), F.lit(""))), "\n")
     return df.select(id, F.posexplode(lines).alias("pos", "line"))
 
 
+def scan_settings(df: DataFrame, id: str, text: str) -> DataFrame:
+    """Lines ``[#] key value`` out of texts: (id, pos, setting, value, commented).
+
+    The value is what stands up to the next blank; a line may be indented, and the sign may stand off from
+    the key. All other lines are left out.
+    """
+    field = lambda n: F.regexp_extract("line", r"^[ \t]*(#?)[ \t]*([^ \t#]+)[ \t]+([^ \t]+)", n)
+    found = scan_lines(df, id, text).select(
+        id, "pos", field(2).alias("setting"), field(3).alias("value"), (field(1) == "#").alias("commented")
+    )
+    return found.where("setting <> ''")
+
+
 def scan_html_links(pages: DataFrame, id: str, html: str, pattern: str, out: str = "link") -> DataFrame:
     """One row per match of ``pattern`` in the page: its first capture group."""
     return pages.select(id, F.explode(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))).alias(out))

@@ -2,44 +2,41 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.spread import null_safe
 from tidemark.operators.sync import sync_apply
+from tidemark.sources.publish import point, read_pointer
 
 
 def stream_insert_if_absent(
     stream: DataFrame,
     key: Sequence[str],
     spread_by: Sequence[str],
-    ts: str | None = None,
-    delay: str | None = None,
+    existing: DataFrame | None = None,
     shares: int = 16,
 ) -> DataFrame:
-    """Let the first row of each key through and drop all later ones.
+    """Let the first row of each key through and drop all later ones, and all whose key ``existing`` has.
 
-    Exact with ``delay=None``; the state then holds every key. With ``ts`` and ``delay`` a key is
-    forgotten once that much event time has passed, which is exact if no copy comes later than that.
+    Exact however late a row comes: the state holds every key that passed. A watermark could make it forget
+    keys, but would drop late first rows too, so there is none; to bound the state, start a new query from
+    time to time with what was inserted so far as ``existing``.
 
     Rows are dropped in two stages, first within a share of each key's rows, then by key: however
     frequent a key is, no task gets more than its share, and at most ``shares`` rows of it go on. The
     state of the first stage grows with ``shares`` for keys that are repeated often.
     """
     key = list(key)
+    if existing is not None:
+        there = existing.select(*key).distinct().alias("e")
+        stream = stream.alias("n").join(there, null_safe("n", "e", key), "left_anti")
     shared = stream.withColumn("_share", F.pmod(F.xxhash64(*spread_by), F.lit(shares)))
-    if delay is None:
-        return shared.dropDuplicates([*key, "_share"]).dropDuplicates(key).drop("_share")
-    if ts is None:
-        raise ValueError("a delay needs the event time column")
-    return (
-        shared.withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark([*key, "_share"])
-        .dropDuplicatesWithinWatermark(key)
-        .drop("_share")
-    )
+    return shared.dropDuplicates([*key, "_share"]).dropDuplicates(key).drop("_share")
 
 
 def _last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -48,17 +45,27 @@ def _last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return last.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+BATCHES = "batch bigint, folder string"
+FOLDED = "version bigint, upto bigint"
+
+
 def stream_sync_apply(
     stream: DataFrame, deltas: str, checkpoint: str, key: Sequence[str], order: Sequence[str]
 ) -> StreamingQuery:
-    """Write the last row per key of each batch to ``deltas/v=<batch>``, for all data available now.
+    """Write the last row per key of each batch below ``deltas``, for all data available now.
 
-    A batch costs no more than its own rows: the target is not read or rewritten. A batch that is
-    replayed overwrites its own folder with the same rows.
+    A batch costs no more than its own rows: the target is not read or rewritten. Each batch gets a folder
+    of its own and counts once the pointer table names it; a batch that is replayed after that is left out,
+    so that readers never see a part of one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _last_per_key(batch, key, order).write.mode("overwrite").parquet(f"{deltas}/v={batch_id}")
+        spark = batch.sparkSession
+        done = read_pointer(spark, deltas, BATCHES)
+        if done is None or done.where(F.col("batch") == batch_id).isEmpty():
+            folder = f"{deltas}/data/{batch_id}-{uuid.uuid4().hex}"
+            _last_per_key(batch, key, order).write.parquet(folder)
+            point(spark, deltas, BATCHES, batch_id, folder)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -68,12 +75,56 @@ def stream_sync_apply(
     )
 
 
+def _batches(spark: SparkSession, deltas: str, after: int) -> list[tuple[int, str]]:
+    """Published batches after a number, with their folders: a row per batch not folded yet."""
+    pointer = read_pointer(spark, deltas, BATCHES)
+    if pointer is None:
+        return []
+    rows = pointer.where(F.col("batch") > after).groupBy("batch").agg(F.min("folder").alias("folder")).collect()
+    return sorted((row.batch, row.folder) for row in rows)
+
+
 def stream_synced(
-    spark: SparkSession, target: DataFrame, deltas: str, key: Sequence[str], order: Sequence[str]
+    spark: SparkSession, target: DataFrame, deltas: str, key: Sequence[str], order: Sequence[str], after: int = -1
 ) -> DataFrame:
-    """The target with all deltas so far added, last row per key by ``order``: additive ``sync_apply``.
+    """The target with all published batches after number ``after``, last row per key by ``order``: additive
+    ``sync_apply``. Before the first batch it is the target itself."""
+    batches = _batches(spark, deltas, after)
+    if not batches:
+        return target
+    changes = spark.read.parquet(*[folder for _, folder in batches])
+    return sync_apply(_last_per_key(changes, key, order), target, key, "additive")
 
-    Publish it as a new version (``validated_publish``) from time to time to start over from few deltas.
+
+def folded_target(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """The target last published by ``fold_batches`` and the number of the last batch in it."""
+    pointer = read_pointer(spark, root, FOLDED)
+    if pointer is None:
+        raise ValueError(f"nothing published yet at {root}")
+    version, upto = pointer.orderBy(F.col("version").desc()).first()
+    return spark.read.parquet(f"{root}/data/v={version}"), upto
+
+
+def start_target(target: DataFrame, root: str) -> None:
+    """Publish a first target, with no batch in it."""
+    target.write.mode("overwrite").parquet(f"{root}/data/v=0")
+    point(target.sparkSession, root, FOLDED, 0, -1)
+
+
+def fold_batches(spark: SparkSession, root: str, deltas: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Publish the target below ``root`` with all batches since as a new version; they are left out from then on.
+
+    The version and the number of its last batch are one row of the pointer table, so a run that is cut off
+    changes nothing. Returns the target; the old version stays for those who still read it.
     """
-    changes = spark.read.parquet(deltas).drop("v")
-    return sync_apply(_last_per_key(changes, key, order), target, key, "additive")
+    target, upto = folded_target(spark, root)
+    batches = _batches(spark, deltas, upto)
+    if batches:
+        last = batches[-1][0]
+        pointer = read_pointer(spark, root, FOLDED)
+        version = pointer.agg(F.max("version")).first()[0] + 1
+        changes = spark.read.parquet(*[folder for _, folder in batches])
+        folded = sync_apply(_last_per_key(changes, key, order), target, key, "additive")
+        folded.write.mode("overwrite").parquet(f"{root}/data/v={version}")
+        point(spark, root, FOLDED, version, last)
+    return folded_target(spark, root)[0]
