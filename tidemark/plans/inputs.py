@@ -82,8 +82,29 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         from {events}
         """,
     ),
-    "networks": (
-        ("nation", "region"),
+    # versions with a stamp of 20 digits, and two schemes that agree in most of their text
+    "stamped": (
+        ("orders",),
+        """
+        select o_orderkey as id, o_orderpriority as product,
+               case o_orderstatus
+                   when 'O' then concat(cast(month(o_orderdate) as string), '.0.0.9',
+                                        lpad(cast(o_orderkey as string), 19, '0'))
+                   when 'F' then concat('0.0.', cast(o_orderkey as string), '00000000000000000000')
+                   else concat(cast(o_custkey as string), '.0.0') end as version
+        from {orders}
+        """,
+    ),
+    # keys and groups that are null in places
+    "gaps": (
+        ("events",),
+        """
+        select nullif(user_id % 7, 3) as k, nullif(event_type, 'view') as g, event_id, value,
+               nullif(cast(floor(value) as bigint) % 4, 0) as v
+        from {events}
+        """,
+    ),
+    "networks": (        ("nation", "region"),
         """
         select concat('192.168.', cast(n_nationkey * 8 as string), '.0/21') as cidr from {nation}
         union all select concat('192.168.', cast(r_regionkey * 32 as string), '.0/19') from {region}

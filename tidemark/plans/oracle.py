@@ -14,7 +14,7 @@ def _with(names: str, body: str) -> str:
 _SUFFIX = "regexp_replace(version, '^([0-9]+(?:[.][0-9]+)*)', '')"
 _WORD = f"regexp_extract({_SUFFIX}, '^([^0-9]*)', 1)"
 VERSION_KEY = f"""
-    cast(string_split(regexp_extract(version, '^([0-9]+(?:[.][0-9]+)*)', 1), '.') as bigint[]) as k1,
+    cast(string_split(regexp_extract(version, '^([0-9]+(?:[.][0-9]+)*)', 1), '.') as hugeint[]) as k1,
     case when {_WORD} = '' then 0 when {_WORD} like '~%' then -1
          when regexp_matches({_WORD}, '^[A-Za-z]') then 1 else 2 end as k2,
     {_WORD} as k3,
@@ -68,14 +68,14 @@ def _sync_plan(target_only: str) -> str:
     """
 
 
-def _latest_version(source: str, names: str, rank: str) -> str:
+def _latest_version(source: str, names: str, rank: str, group: str = "component") -> str:
     return _with(
         names,
         f"""
-        select component, version
-        from (select component, version, {rank} as r, {VERSION_KEY} from {source})
+        select {group}, version
+        from (select {group}, version, {rank} as r, {VERSION_KEY} from {source})
         where r is not null
-        qualify row_number() over (partition by component order by r desc, {VERSION_DOWN}) = 1
+        qualify row_number() over (partition by {group} order by r desc, {VERSION_DOWN}) = 1
         """,
     )
 
@@ -105,10 +105,19 @@ _ENDED = "{0} || case when {0} = '' or suffix({0}, chr(10)) then '' else chr(10)
 
 ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders"
 
+# all events were applied, so the old rows under their keys are gone
+SYNCED = """
+    select props, user_id, value, ts, event_id from events
+    qualify row_number() over (partition by props order by ts desc, event_id desc) = 1
+    union all
+    select url, page_id, cast(0 as double), cast(null as timestamp), cast(-1 as bigint) from pages
+"""
+
 ORACLE: dict[str, str] = {
     "scan_lines": """
         select doc_id, cast(unnest(range(len(l))) as integer) as pos, unnest(l) as line
-        from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as l from documents)
+        from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as l from documents
+              where text <> '')
     """,
     "scan_html_links": """
         select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages
@@ -144,6 +153,21 @@ ORACLE: dict[str, str] = {
         from names
         """,
     ),
+    "rule_check_versions": _with(
+        "releases",
+        f"""
+        select id, version, {STABLE} as valid, case when {STABLE} then '' else 'has_3_numbers' end as violations
+        from releases
+        """,
+    ),
+    "rule_check_networks": """
+        select event_id, '10.0.' || user_id || '.0' || case user_id % 3 when 0 then '/24' when 1 then '/33' else '' end
+                   as cidr,
+               user_id % 3 = 0 and user_id < 256 as valid,
+               concat_ws(',', case when user_id % 3 = 2 then 'has_prefix_length' end,
+                         case when user_id % 3 <> 0 or user_id > 255 then 'is_ipv4_network' end) as violations
+        from events
+    """,
     "allow_list_filter": """
         select event_id, user_id, event_type from events where event_type in ('click', 'view')
     """,
@@ -185,7 +209,22 @@ ORACLE: dict[str, str] = {
     "sync_plan_summary": _with(
         "old_orders", f"select action, count(*) as n from ({_sync_plan('delete')}) group by action"
     ),
-    "sync_apply": ORDERS,
+    "sync_plan_null_keys": _with(
+        "gaps",
+        """
+        , s as (select k, g, max(event_id) as e from gaps group by k, g),
+        t as (select k, g, max(event_id) as e from gaps where v is null or v < 3 group by k, g)
+        select s.k, s.g, case when t.e is null then 'create' when t.e = s.e then 'skip' else 'update' end as action
+        from s left join t on s.k is not distinct from t.k and s.g is not distinct from t.g
+        """,
+    ),
+    "sync_apply": _with(
+        "old_orders",
+        """
+        select o_orderkey, 'skip' as action from orders union all
+        select o_orderkey, 'keep' from old_orders where o_orderkey not in (select o_orderkey from orders)
+        """,
+    ),
     "sync_apply_additive": _with(
         "old_orders",
         f"""
@@ -221,6 +260,26 @@ ORACLE: dict[str, str] = {
         "requests cache",
         f"select {_BASENAME} as key from requests union select {_BASENAME} from cache",
     ),
+    "missing_items_null_keys": _with(
+        "gaps", "select distinct k, g from gaps except select k, g from gaps where k = 2 and v = 1 or k is null and g is null"
+    ),
+    "config_drift_from_text": _with(
+        "config_docs",
+        r"""
+        , lines as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line
+                    from (select doc_id, string_split(body, chr(10)) as l from config_docs)),
+        entries as (
+            select doc_id, pos, regexp_extract(line, '^[ 	]*#?[ 	]*([^ 	#]+)[ 	]+([^ 	]+)', 1) as setting,
+                   regexp_extract(line, '^[ 	]*#?[ 	]*([^ 	#]+)[ 	]+([^ 	]+)', 2) as value
+            from lines where not regexp_matches(line, '^[ 	]*#')),
+        latest as (select * from entries qualify row_number() over (partition by doc_id, setting order by pos desc) = 1),
+        desired as (select doc_id, d.setting, d.value from config_docs,
+                    (values ('lang', 'en'), ('quota', '500'), ('source', 'src3'), ('absent', '1')) d(setting, value))
+        select d.doc_id, d.setting, d.value,
+               case when l.doc_id is null then 'append' when l.value = d.value then 'skip' else 'replace' end as action
+        from desired d left join latest l on l.doc_id = d.doc_id and l.setting = d.setting
+        """,
+    ),
     "config_drift": _drift("not commented"),
     "config_drift_commented": _drift("true"),
     "drift_verdict": _with(
@@ -236,11 +295,21 @@ ORACLE: dict[str, str] = {
     ),
     "insert_if_absent": """
         with have as (select unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line
-                      from benchmark),
+                      from benchmark where text <> ''),
         new as (select distinct unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line
-                from documents)
+                from documents where text <> '')
         select line from have union all select line from new where line not in (select line from have)
     """,
+    "insert_if_absent_null_keys": _with(
+        "gaps",
+        """
+        , have as (select k, g, max(event_id) as event_id from gaps where g = 'click' group by k, g)
+        select * from have union all
+        select k, g, min(event_id) from gaps n
+        where not exists (select 1 from have h where h.k is not distinct from n.k and h.g is not distinct from n.g)
+        group by k, g
+        """,
+    ),
     "gate_classify": OUTCOMES,
     "fleet_summary": f"""
         select day, count(*) as total, count(*) filter (where good) as ok,
@@ -254,13 +323,28 @@ ORACLE: dict[str, str] = {
         from ({OUTCOMES}) where outcome not in ('already', 'copied')
     """,
     "fleet_failed_list": f"""
-        select day, cast(user_id as string) || ' - ' || outcome as entry
-        from ({OUTCOMES}) where outcome not in ('already', 'copied')
+        select day, ('0x' || substr(md5(entry), 1, 8))::bigint % 4 as page,
+               string_agg(entry, '|' order by entry) as failed_list
+        from (select day, cast(user_id as string) || ' - ' || outcome as entry
+              from ({OUTCOMES}) where outcome not in ('already', 'copied')) group by day, page
     """,
+    "fleet_failed_list_null_groups": _with(
+        "gaps",
+        """
+        , f as (select g, concat_ws(' - ', g, cast(event_id as string), coalesce(cast(v as string), 'unknown')) as entry
+                from gaps where coalesce(v, 0) not in (1, 2))
+        select g, ('0x' || substr(md5(entry), 1, 8))::bigint % 2 as page,
+               string_agg(entry, '|' order by entry) as failed_list
+        from f group by g, page
+        """,
+    ),
     "latest_version_preview_first": _latest_version(
         "releases", "releases", f"case when regexp_matches(version, '[abrc]') then 2 when {STABLE} then 1 end"
     ),
     "latest_version": _latest_version("releases", "releases", f"case when {STABLE} then 2 else 1 end"),
+    "latest_version_stamped": _latest_version(
+        "stamped", "stamped", f"case when {STABLE} then 2 else 1 end", "product"
+    ),
     "distinct_versions": _with("releases", "select distinct product, version from releases"),
     "current_pointer": _with(
         "releases",
@@ -283,6 +367,21 @@ ORACLE: dict[str, str] = {
                          over (partition by user_id order by event_id) as bad
               from events) group by user_id
     """,
+    "longest_ok_prefix_null_groups": _with(
+        "gaps",
+        """
+        select k, g, coalesce(cast(max(case when bad = 0 then event_id end) as string), 'none') as last_ok
+        from (select k, g, event_id, sum(case when v is null then 1 else 0 end)
+                  over (partition by k, g order by event_id) as bad from gaps) group by k, g
+        """,
+    ),
+    "priority_fallback_null_groups": _with(
+        "gaps",
+        """
+        select * from gaps where value > 50
+        qualify v = min(v) over (partition by k)
+        """,
+    ),
     "block_spans": _with(
         "marked_docs",
         f"""
@@ -307,6 +406,14 @@ ORACLE: dict[str, str] = {
         from keyed
         """,
     ),
+    "version_sort_stamped": _with(
+        "stamped",
+        f"""
+        , keyed as (select id, product, version, {VERSION_KEY} from stamped)
+        select id, product, version, dense_rank() over (partition by product order by {VERSION_UP}) as rank
+        from keyed
+        """,
+    ),
     "first_match": _with(
         "releases",
         f"""
@@ -405,7 +512,7 @@ ORACLE: dict[str, str] = {
         """,
     ),
     "event_log_rollup": """
-        select event_type as app, user_id as stage, count(*) as tasks,
+        select event_type || ' é' as app, user_id as stage, event_id % 2 as attempt, count(*) as tasks,
                count(*) filter (where value < 5) as failed,
                quantile_disc(run, 0.5) as run_p50, quantile_disc(run, 0.95) as run_p95, max(run) as run_max,
                case when quantile_disc(run, 0.5) > 0
@@ -414,13 +521,13 @@ ORACLE: dict[str, str] = {
                cast(sum(run * 10) as bigint) as shuffle_write,
                cast(sum(length(props)) as bigint) as spilled
         from (select *, cast(floor(value) as bigint) as run from events)
-        group by event_type, user_id
+        group by event_type, user_id, event_id % 2
     """,
     "stream_insert_if_absent": "select distinct props from events",
-    "stream_sync_apply": """
-        select props, user_id, value, ts, event_id from events where event_type <> 'error'
-        qualify row_number() over (partition by props order by ts desc, event_id desc) = 1
-        union all
-        select url, page_id, cast(0 as double), cast(null as timestamp), cast(-1 as bigint) from pages
+    "stream_insert_if_absent_existing": """
+        select distinct props from events
+        where props not in (select props from events where event_type = 'click' and props like '%7%')
     """,
+    "stream_sync_apply": SYNCED,
+    "stream_fold_batches": SYNCED,
 }

@@ -22,7 +22,6 @@ QUERIES: dict[str, Query] = {}
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 ORDER_KEY = ["o_orderkey"]
 HREF = 'href="([^"]*)"'
-REGIONS = ["0", "1", "2", "3", "4"]
 
 
 def query(function: Query) -> Query:
@@ -87,7 +86,7 @@ def snapshot_history(spark, folder):
     path = scratch_path(spark, "snapshots")
     publish.snapshot_history(spark_input(spark, folder, "old_orders"), path, 1_000_000_000)
     history = publish.snapshot_history(_orders(spark, folder), path, 1_000_000_100)
-    return history.withColumn("snapshot_ts", F.col("snapshot_ts").cast("bigint"))
+    return history
 
 
 @query
@@ -108,6 +107,26 @@ def rule_check(spark, folder):
     return checked.select("page_id", "name", "valid", F.concat_ws(",", "violations").alias("violations"))
 
 
+def _checked(df: DataFrame, id: str, value: str, checks: dict) -> DataFrame:
+    checked = filters.rule_check(df, checks)
+    return checked.select(id, value, "valid", F.concat_ws(",", "violations").alias("violations"))
+
+
+@query
+def rule_check_versions(spark, folder):
+    releases = spark_input(spark, folder, "releases")
+    return _checked(releases, "id", "version", rules.version_rules(F.col("version"), 3))
+
+
+@query
+def rule_check_networks(spark, folder):
+    shape = F.when(F.col("user_id") % 3 == 0, "/24").when(F.col("user_id") % 3 == 1, "/33").otherwise("")
+    given = _table(spark, folder, "events").select(
+        "event_id", F.concat(F.lit("10.0."), F.col("user_id").cast("string"), F.lit(".0"), shape).alias("cidr")
+    )
+    return _checked(given, "event_id", "cidr", rules.network_rules(F.col("cidr")))
+
+
 @query
 def allow_list_filter(spark, folder):
     events = _table(spark, folder, "events").select("event_id", "user_id", "event_type")
@@ -164,7 +183,7 @@ def missing_items(spark, folder):
 @query
 def fanout_plan(spark, folder):
     targets, items = spark_input(spark, folder, "fleet_targets"), spark_input(spark, folder, "fleet_items")
-    return sync.fanout_plan(targets, items, REGIONS)
+    return sync.fanout_plan(targets, items)
 
 
 @query
@@ -184,9 +203,21 @@ def sync_plan_summary(spark, folder):
     return sync_plan(spark, folder).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def sync_plan_null_keys(spark, folder):
+    """Keys with nulls in both columns, against themselves and a part of them."""
+    gaps = spark_input(spark, folder, "gaps")
+    source = gaps.groupBy("k", "g").agg(F.max("event_id").alias("last"))
+    target = gaps.where("v is null or v < 3").groupBy("k", "g").agg(F.max("event_id").alias("last"))
+    return sync.sync_plan(source, target, ["k", "g"])
+
+
 @query
 def sync_apply(spark, folder):
-    return sync.sync_apply(_orders(spark, folder), spark_input(spark, folder, "old_orders"), ORDER_KEY)
+    """Additive, then the plan for what was applied: all keys of the source are as they should be."""
+    orders = _orders(spark, folder)
+    applied = sync.sync_apply(orders, spark_input(spark, folder, "old_orders"), ORDER_KEY, "additive")
+    return sync.sync_plan(orders, applied, ORDER_KEY, "additive")
 
 
 @query
@@ -226,6 +257,22 @@ def cache_after(spark, folder):
     return sync.cache_after(requests, cache, "url", by="basename")
 
 
+@query
+def missing_items_null_keys(spark, folder):
+    gaps = spark_input(spark, folder, "gaps").select("k", "g", "v")
+    return sync.missing_items(gaps, gaps.where("k = 2 and v = 1 or k is null and g is null"), ["k", "g"])
+
+
+@query
+def config_drift_from_text(spark, folder):
+    """Settings read out of texts: the last line of a key counts, commented ones do not."""
+    documents = spark_input(spark, folder, "config_docs")
+    observed = scan.scan_settings(documents, "doc_id", "body")
+    wanted = F.create_map(*map(F.lit, ["lang", "en", "quota", "500", "source", "src3", "absent", "1"]))
+    desired = documents.select("doc_id", F.explode(wanted).alias("setting", "value"))
+    return sync.config_drift(desired, observed, ["doc_id", "setting"], "value", ["pos"], "commented")
+
+
 def _desired(spark: SparkSession, folder: str, wanted: dict[str, str] = DESIRED) -> DataFrame:
     nodes = _table(spark, folder, "events").select(F.col("user_id").alias("node")).distinct()
     settings = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])
@@ -270,6 +317,15 @@ def insert_if_absent(spark, folder):
     return sync.insert_if_absent(existing, incoming, ["line"])
 
 
+@query
+def insert_if_absent_null_keys(spark, folder):
+    """Twice: the second time nothing is added."""
+    gaps = spark_input(spark, folder, "gaps").select("k", "g", "event_id")
+    existing = gaps.where("g = 'click'").groupBy("k", "g").agg(F.max("event_id").alias("event_id"))
+    once = sync.insert_if_absent(existing, gaps, ["k", "g"], ["event_id"])
+    return sync.insert_if_absent(once, gaps, ["k", "g"], ["event_id"])
+
+
 # aggregations
 
 
@@ -303,9 +359,15 @@ def fleet_failures(spark, folder):
 
 @query
 def fleet_failed_list(spark, folder):
-    lists = status.fleet_failed_list(_outcomes(spark, folder), ["day"], ["user_id"], ["already", "copied"])
-    # the number of pages depends on the size of the tables, their entries do not
-    return lists.select("day", F.explode("failed_list").alias("entry"))
+    lists = status.fleet_failed_list(_outcomes(spark, folder), ["day"], ["user_id"], ["already", "copied"], 4)
+    return lists.select("day", "page", F.array_join("failed_list", "|").alias("failed_list"))
+
+
+@query
+def fleet_failed_list_null_groups(spark, folder):
+    gaps = spark_input(spark, folder, "gaps").select("g", "event_id", F.col("v").cast("string").alias("outcome"))
+    lists = status.fleet_failed_list(gaps, ["g"], ["g", "event_id"], ["1", "2"], 2)
+    return lists.select("g", "page", F.array_join("failed_list", "|").alias("failed_list"))
 
 
 @query
@@ -320,6 +382,11 @@ def latest_version(spark, folder):
     return versions.latest_version(releases, ["component"], "version", "stable_first")
 
 
+@query
+def latest_version_stamped(spark, folder):
+    return versions.latest_version(spark_input(spark, folder, "stamped"), ["product"], "version", "stable_first")
+
+
 @query
 def distinct_versions(spark, folder):
     return versions.distinct_versions(spark_input(spark, folder, "releases"), ["product"], "version")
@@ -347,6 +414,19 @@ def longest_ok_prefix(spark, folder):
     return reached.select("user_id", F.coalesce(F.col("last_ok").cast("string"), F.lit("none")).alias("last_ok"))
 
 
+@query
+def longest_ok_prefix_null_groups(spark, folder):
+    gaps = spark_input(spark, folder, "gaps")
+    reached = sequences.longest_ok_prefix(gaps, ["k", "g"], "event_id", F.col("v").isNotNull())
+    return reached.select("k", "g", F.coalesce(F.col("last_ok").cast("string"), F.lit("none")).alias("last_ok"))
+
+
+@query
+def priority_fallback_null_groups(spark, folder):
+    gaps = spark_input(spark, folder, "gaps")
+    return sequences.priority_fallback(gaps, ["k"], "v", F.col("value") > 50, ["event_id"])
+
+
 @query
 def block_spans(spark, folder):
     lines = scan.scan_lines(spark_input(spark, folder, "marked_docs"), "doc_id", "body")
@@ -376,6 +456,11 @@ def version_sort(spark, folder):
     return versions.version_sort(releases, ["product"], "version", ["id"])
 
 
+@query
+def version_sort_stamped(spark, folder):
+    return versions.version_sort(spark_input(spark, folder, "stamped"), ["product"], "version", ["id"])
+
+
 @query
 def first_match(spark, folder):
     releases = spark_input(spark, folder, "releases")
@@ -471,6 +556,7 @@ def event_log_rollup(spark, folder):
     record = F.struct(
         F.lit(joblog.TASK_END).alias("Event"),
         F.col("user_id").alias("Stage ID"),
+        (F.col("event_id") % 2).alias("Stage Attempt ID"),
         F.struct((F.col("value") < 5).alias("Failed")).alias("Task Info"),
         F.struct(
             run.alias("Executor Run Time"),
@@ -483,7 +569,7 @@ def event_log_rollup(spark, folder):
         ).alias("Task Metrics"),
     )
     path = scratch_path(spark, "event-log")
-    logs = _table(spark, folder, "events").select(F.to_json(record).alias("value"), F.col("event_type").alias("app"))
+    logs = _table(spark, folder, "events").select(F.to_json(record).alias("value"), F.concat("event_type", F.lit(" é")).alias("app"))
     logs.write.partitionBy("app").text(path)
     return joblog.event_log_rollup(spark, path)
 
@@ -497,10 +583,8 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return stream.parquet(f"{folder}/events*.parquet")
 
 
-@query
-def stream_insert_if_absent(spark, folder):
+def _inserted(spark: SparkSession, new: DataFrame) -> DataFrame:
     out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
-    new = incremental.stream_insert_if_absent(_event_stream(spark, folder), ["props"], ["event_id"])
     (
         new.select("props")
         .writeStream.format("parquet")
@@ -513,19 +597,56 @@ def stream_insert_if_absent(spark, folder):
 
 
 @query
-def stream_sync_apply(spark, folder):
-    deltas, checkpoint = scratch_path(spark, "stream-deltas"), scratch_path(spark, "stream-checkpoint")
-    columns = ["props", "user_id", "value", "ts", "event_id"]
-    stream = _event_stream(spark, folder).where(F.col("event_type") != "error").select(*columns)
-    key, order = ["props"], ["ts", "event_id"]
-    incremental.stream_sync_apply(stream, deltas, checkpoint, key, order).awaitTermination()
-    # the target starts with one row per page, under keys of its own
-    pages = _table(spark, folder, "pages")
-    target = pages.select(
-        F.col("url").alias("props"),
-        F.col("page_id").alias("user_id"),
+def stream_insert_if_absent(spark, folder):
+    return _inserted(
+        spark, incremental.stream_insert_if_absent(_event_stream(spark, folder), ["props"], ["event_id"])
+    )
+
+
+@query
+def stream_insert_if_absent_existing(spark, folder):
+    """Only what the table that is there already lacks."""
+    existing = _table(spark, folder, "events").where("event_type = 'click' and props like '%7%'").select("props")
+    stream = _event_stream(spark, folder)
+    return _inserted(spark, incremental.stream_insert_if_absent(stream, ["props"], ["event_id"], existing))
+
+
+EVENT_COLUMNS = ["props", "user_id", "value", "ts", "event_id"]
+
+
+def _event_target(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per page under a key of its own, and old rows under half of the stream's keys."""
+    events, pages = load(spark, folder, "events", "pages")
+    row = lambda key, user: [
+        key.alias("props"),
+        user.alias("user_id"),
         F.lit(0.0).alias("value"),
         F.lit(None).cast("timestamp_ntz").alias("ts"),
         F.lit(-1).cast("bigint").alias("event_id"),
+    ]
+    shared = events.where("length(props) % 2 = 0 or value < 1").select("props").distinct()
+    return pages.select(*row(F.col("url"), F.col("page_id"))).unionByName(
+        shared.select(*row(F.col("props"), F.lit(-1).cast("bigint")))
     )
-    return incremental.stream_synced(spark, target, deltas, key, order)
+
+
+@query
+def stream_sync_apply(spark, folder):
+    """All events over a target that has some of their keys already."""
+    deltas, checkpoint = scratch_path(spark, "stream-deltas"), scratch_path(spark, "stream-checkpoint")
+    stream, key, order = _event_stream(spark, folder).select(*EVENT_COLUMNS), ["props"], ["ts", "event_id"]
+    incremental.stream_sync_apply(stream, deltas, checkpoint, key, order).awaitTermination()
+    return incremental.stream_synced(spark, _event_target(spark, folder), deltas, key, order)
+
+
+@query
+def stream_fold_batches(spark, folder):
+    """The same, folded into a new version of the target; then nothing is left to add."""
+    root, deltas = scratch_path(spark, "stream-target"), scratch_path(spark, "stream-deltas")
+    stream, key, order = _event_stream(spark, folder).select(*EVENT_COLUMNS), ["props"], ["ts", "event_id"]
+    incremental.start_target(_event_target(spark, folder), root)
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    incremental.stream_sync_apply(stream, deltas, checkpoint, key, order).awaitTermination()
+    incremental.fold_batches(spark, root, deltas, key, order)
+    target, upto = incremental.folded_target(spark, root)
+    return incremental.stream_synced(spark, target, deltas, key, order, upto)
