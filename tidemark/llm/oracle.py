@@ -9,6 +9,22 @@ ORACLE = {
                doc_id is not distinct from max(doc_id) over g as kept, text_sha256
         from t window g as (partition by text_sha256)
     """,
+    "op4_suffix_array_dedup": """
+        with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+        w as (select doc_id, i, hash(substr(x, 2 * i + 1, 400)) as k from h, unnest(range(0, length(x) // 2 - 199)) t(i)),
+        s as (select doc_id, i from w where k in (select k from w group by k having count(*) > 1)),
+        g as (select *, coalesce(i > lag(i) over o + 200, true) as opens from s window o as (partition by doc_id order by i)),
+        n as (select *, count(*) filter (opens) over (partition by doc_id order by i) as run from g),
+        r as (select doc_id, run, min(i) as a, max(i) + 200 as b from n group by doc_id, run),
+        p as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as z from r),
+        k as (select p.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as b,
+                     string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' order by a) as kept
+              from p join h on p.doc_id = h.doc_id group by p.doc_id)
+        select h.doc_id, cast(length(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+               coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(coalesce(kept || substr(x, 2 * b + 1), x))) as kept_sha256
+        from h left join k on h.doc_id = k.doc_id
+    """,
     "op6_warc": """
         with t as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest from t),
