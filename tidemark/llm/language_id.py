@@ -93,17 +93,21 @@ def solve(samples: Sequence[Sequence[int]], languages: Sequence[str], landmarks:
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.zeros((1 << DIM_BITS, 1), np.float32), np.zeros(1, np.float32))
-    grams = [np.asarray(s, np.int64) for s in samples]
+    grams = [np.asarray(s, np.int32) for s in samples]
     # landmarks are taken from each language in turn
     turn = np.empty(len(grams), np.int64)
     for name in names:
         own = [i for i, language in enumerate(languages) if language == name]
         turn[own] = np.arange(len(own))
     chosen = np.argsort(turn, kind="stable")[:landmarks]
-    marks = np.zeros((len(chosen), 1 << DIM_BITS), np.float32)
-    for row, i in zip(marks, chosen, strict=True):
-        row[grams[i]] = 1 / np.sqrt(len(grams[i]))
-    kernel = np.stack([marks[:, g].sum(axis=1) / np.sqrt(len(g)) for g in grams]).astype(np.float64)
+    # a landmark at a time, since all of them as a matrix would be large for a driver
+    sizes = np.array([len(g) for g in grams])
+    every, starts = np.concatenate(grams), np.cumsum(sizes) - sizes
+    kernel = np.empty((len(grams), len(chosen)))
+    for column, i in enumerate(chosen):
+        seen = np.zeros(1 << DIM_BITS, bool)
+        seen[grams[i]] = True
+        kernel[:, column] = np.add.reduceat(seen[every], starts, dtype=np.int64) / np.sqrt(sizes * sizes[i])
     among = kernel[chosen]
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     used = values > 1e-6 * values.max()
@@ -116,7 +120,10 @@ def solve(samples: Sequence[Sequence[int]], languages: Sequence[str], landmarks:
     centred = features - mean
     inner = centred.T @ centred + ridge * np.eye(centred.shape[1])
     slope = np.linalg.solve(inner, centred.T @ (goal - offset))
-    return LanguageModel(names, (marks.T @ (root @ slope)).astype(np.float32), (offset - mean @ slope).astype(np.float32))
+    weights = np.zeros((1 << DIM_BITS, len(names)))
+    for i, alpha in zip(chosen, root @ slope, strict=True):
+        weights[grams[i]] += alpha / np.sqrt(sizes[i])
+    return LanguageModel(names, weights.astype(np.float32), (offset - mean @ slope).astype(np.float32))
 
 
 def fit_languages(docs: DataFrame, text: str, lang: str, draw: Column, sample: int = SAMPLE) -> LanguageModel:
@@ -139,13 +146,14 @@ def fit_languages(docs: DataFrame, text: str, lang: str, draw: Column, sample: i
             found = [presence(t) for t in batch.column(1).to_pylist()]
             kept = [i for i, g in enumerate(found) if g is not None]
             langs = batch.column(0).take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([langs, pa.array([found[i] for i in kept], pa.list_(pa.int32()))], names=["lang", "grams"])
+            packed = pa.array([found[i].tobytes() for i in kept], pa.binary())
+            yield pa.RecordBatch.from_arrays([langs, packed], names=["lang", "grams"])
 
-    drawn = rows.where(taken).select("lang", "text").mapInArrow(grams, "lang string, grams array<int>")
+    drawn = rows.where(taken).select("lang", "text").mapInArrow(grams, "lang string, grams binary")
     drawn = drawn.limit(2 * sample * max(1, len(counts)))
-    found = sorted(((r.lang, r.grams) for r in drawn.collect()), key=lambda r: (r[0], len(r[1]), r[1]))
+    found = sorted((r.lang, bytes(r.grams)) for r in drawn.collect())
     order = np.random.default_rng(0).permutation(len(found))
-    return solve([found[i][1] for i in order], [found[i][0] for i in order])
+    return solve([np.frombuffer(found[i][1], np.int32) for i in order], [found[i][0] for i in order])
 
 
 def predict_languages(docs: DataFrame, key: str, text: str, model: LanguageModel, carry: Sequence[str] = ()) -> DataFrame:
