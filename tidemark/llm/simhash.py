@@ -4,7 +4,8 @@ Two fingerprints at most 3 bits apart have a variant in common that one reaches
 bit and the other by at most two. Every fingerprint emits the variants within one flip (65). Only a pair
 exactly 3 apart needs two flips on one side, and it has unlike parities, so only fingerprints of even
 parity emit them; and as two of any three bits lie in the same half of the fingerprint, the pairs of bits
-within a half are enough (992 of 2016).
+within a half are enough (992 of 2016). Two flips within a half leave the other half as it is: variants are
+shuffled on that half, so these are emitted where they meet the others, and only their origins travel.
 
 All fingerprints within one flip of a variant are at most 2 apart, and those two flips away are at most 3
 from them, so each links to the least of the former: links grow with the variants, not with their square,
@@ -16,9 +17,10 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +37,9 @@ def _signed(value: int) -> int:
 
 
 ONE_FLIP = [0, *[_signed(1 << i) for i in range(BITS)]]
-TWO_FLIPS = [
-    _signed(1 << i | 1 << j) for half in (range(BITS // 2), range(BITS // 2, BITS)) for i in half for j in half if i < j
-]
+HALVES = (range(BITS // 2), range(BITS // 2, BITS))
+TWO_FLIPS = [np.array([_signed(1 << i | 1 << j) for i in half for j in half if i < j], np.int64) for half in HALVES]
+BUCKET = 4096  # fingerprints that meet in a group, on average
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -91,20 +93,45 @@ def _odd(fp: Column) -> Column:
 def near_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` at most RADIUS bits apart that keep all components."""
 
-    def variants(some: DataFrame, flips: list[int]) -> DataFrame:
-        emitted = some.select("fp", F.explode(F.lit(flips)).alias("_flips"))
-        return emitted.select(F.col("fp").bitwiseXOR(F.col("_flips")).alias("variant"), "fp")
-
     # the least fingerprint within one flip of each variant
-    around = variants(fps, ONE_FLIP)
-    least = around.groupBy("variant").agg(F.min("fp").alias("least"))
-    alike = around.join(least.hint("shuffle_hash"), "variant").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    # a variant two flips from an even fingerprint is even
-    far = variants(fps.where(~_odd(F.col("fp"))), TWO_FLIPS)
-    three = far.join(least.where(~_odd(F.col("variant"))).hint("shuffle_hash"), "variant")
-    links = alike.unionByName(three.select(F.col("fp").alias("u"), F.col("least").alias("v")))
+    emitted = fps.select("fp", F.explode(F.lit(ONE_FLIP)).alias("_flips"))
+    # variants hardly repeat, so nothing is gained by aggregating before the shuffle; no more than 65 share one
+    around = emitted.select(F.col("fp").bitwiseXOR(F.col("_flips")).alias("variant"), "fp")
+    around = around.withColumn("least", F.min("fp").over(Window.partitionBy("variant")))
+    alike = around.select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    # A variant two flips from an even fingerprint is even. One condition, so that no part of it is pushed below
+    # the window and both uses share the shuffle.
+    least = around.where(F.when(F.col("fp") == F.col("least"), ~_odd(F.col("variant"))))
+    buckets = max(1, fps.count() // BUCKET)
+    far = fps.where(~_odd(F.col("fp"))).select("fp", _places(F.col("fp"), buckets))
+    even = least.select("variant", "least", _places(F.col("variant"), buckets))
+    three = far.groupBy("_place").cogroup(even.groupBy("_place")).applyInPandas(_meet, "u long, v long")
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("v")))
-    return links.where((F.col("u") != F.col("v")) & (apart <= RADIUS))
+    return alike.unionByName(three).where((F.col("u") != F.col("v")) & (apart <= RADIUS))
+
+
+def _places(number: Column, buckets: int) -> Column:
+    """``_place``, a row for each half that can be flipped: a bucket by the other half, even or odd by the half."""
+    kept = [F.shiftrightunsigned(number, BITS // 2), number.bitwiseAND(F.lit((1 << BITS // 2) - 1))]
+    return F.explode(F.array(*[F.pmod(F.xxhash64(k), F.lit(buckets)) * 2 + i for i, k in enumerate(kept)])).alias("_place")
+
+
+def _meet(far: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    """Link each fingerprint of a bucket to the least one around any of its variants two flips away."""
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(far) and len(near):
+        flips = TWO_FLIPS[int(far["_place"].iloc[0]) % 2]
+        order = np.argsort(near["variant"].to_numpy())
+        variants, least = near["variant"].to_numpy()[order], near["least"].to_numpy()[order]
+        fps = far["fp"].to_numpy()
+        for start in range(0, len(fps), 512):
+            block = fps[start : start + 512, None]
+            emitted = (block ^ flips).ravel()
+            at = np.minimum(np.searchsorted(variants, emitted), len(variants) - 1)
+            hit = np.flatnonzero(variants[at] == emitted)
+            us.append(np.repeat(block.ravel(), len(flips))[hit])
+            vs.append(least[at[hit]])
+    return pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
 
 def near_dedup(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
