@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import whole
+from tidemark.llm.common import small_batches, whole
 
 CACHE_WORDS = 200_000  # words whose encodings a worker keeps
 CACHE_CHARS = 64  # longer words are not kept from one batch to the next
@@ -215,6 +215,7 @@ def bpe_encode(docs: DataFrame, key: str, text: str, path: str, decoded: str | N
     A null or empty text has no tokens. Rows that repeat a key, null keys and other columns do no harm; one
     row per input row comes out.
     """
+    small_batches(docs.sparkSession)
     fields = [docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField(decoded, T.StringType())] if decoded else []
     names = [field.name for field in fields]

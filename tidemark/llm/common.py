@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.scratch import scratch_path
@@ -20,6 +20,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_BATCH = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session get no more than ROWS_PER_BATCH rows at a time: texts can be long, and
+    workers stay alive with what memory their largest batch took."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if not 0 < now <= ROWS_PER_BATCH:
+        spark.conf.set(setting, ROWS_PER_BATCH)
+
+
 def whole(text: Column) -> Column:
     """A text; null counts as empty."""
     return F.coalesce(text, F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-from tidemark.operators.spread import spread_join
+from tidemark.operators import spread
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -14,10 +14,12 @@ def _fingerprint(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _with_least(pairs: DataFrame, least) -> DataFrame:
-    """Add ``_m``, the least node around ``u``."""
+def _with_least(pairs: DataFrame, least, most: int) -> DataFrame:
+    """Add ``_m``, the least node around ``u``; there are no more than ``most`` pairs."""
     around = pairs.groupBy("u").agg(least.alias("_m"), F.count(F.lit(1)).alias("_rows"))
-    return spread_join(pairs, around.drop("_rows"), ["u"], "inner", ["v"], around.select("u", "_rows"))
+    if most <= spread.HEAVY * spread.SLICE_ROWS:  # no node can have enough for a join to be spread
+        return pairs.join(around.drop("_rows"), "u")
+    return spread.spread_join(pairs, around.drop("_rows"), ["u"], "inner", ["v"], around.select("u", "_rows"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,9 +36,9 @@ def components(links: DataFrame) -> DataFrame:
     while (now := _fingerprint(links)) != before:
         before = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, F.least(F.min("v"), F.first("u"))).where("v > u")
+        large = _with_least(both, F.least(F.min("v"), F.first("u")), 2 * now[0]).where("v > u")
         large = large.select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
-        small = _with_least(large, F.min("v"))
+        small = _with_least(large, F.min("v"), 2 * now[0])
         small = small.select("u", F.col("_m").alias("v")).unionByName(
             small.where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
         )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import whole
+from tidemark.llm.common import small_batches, whole
 
 NGRAMS = (2, 3, 4)
 DIM_BITS = 16  # n-grams are hashed to so many bits
@@ -133,6 +133,7 @@ def fit_languages(docs: DataFrame, text: str, lang: str, draw: Column, sample: i
     without a language, a text or letters are left out. Presence vectors are made on the executors; the
     driver gets ``sample`` of them a language, each of at most 2 to the power DIM_BITS n-grams.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
@@ -162,6 +163,7 @@ def predict_languages(docs: DataFrame, key: str, text: str, model: LanguageModel
     A null text, or one without letters, is ``und`` with score 0, and so is any text for a model that was
     fitted on nothing. Null or repeated keys and other columns do no harm.
     """
+    small_batches(docs.sparkSession)
     kept = [key, *carry]
     fields = [docs.schema[name] for name in kept]
     fields += [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import whole, written
+from tidemark.llm.common import small_batches, whole, written
 from tidemark.llm.components import components
 from tidemark.operators.spread import spread_join
 
@@ -75,6 +75,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) -> DataFrame:
     """(key, fp) of whole texts, one row per input row; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
 
     def work(batches):
