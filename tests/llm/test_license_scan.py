@@ -38,6 +38,28 @@ def test_several_in_a_long_text(scanner):
     assert [f["license"] for f in scanner.scan(text)] == ["MIT", "CC-BY-NC-4.0", "MIT"]
 
 
+@pytest.mark.parametrize("size", [600, 5_000, 20_000])
+def test_many_cues(scanner, size):
+    """Notices are found however long a text is and however many cues it has."""
+    prose = [f"{a}{b}" for a in FILLER.replace(".", "").lower().split() for b in ("", "s", "ed", "ing", "er")]
+    words = [prose[i * i % len(prose)] if i % 50 else "license" for i in range(size)]
+    texts = [t for name in ("MIT", "GPL-3.0", "Apache-2.0", "CC-BY-4.0") for t in TEMPLATES[name]]
+    for i, notice in enumerate(reversed(texts)):
+        words[(len(texts) - i) * size // (len(texts) + 1)] = notice
+    found = scanner.scan(" ".join(words))
+    assert [f["license"] for f in found] == ["MIT"] * 2 + ["GPL-3.0"] * 2 + ["Apache-2.0"] * 2 + ["CC-BY-4.0"] * 2
+    assert all(f["differences"] == [] for f in found)
+
+
+def test_a_notice_at_the_edge_of_a_window(scanner):
+    """The long form stands, though the window of the first cue has only the short one that it begins with."""
+    for gap in range(0, 80, 4):
+        for name in ("Apache-2.0", "MIT"):
+            text = "a license of" + " and" * gap + " " + TEMPLATES[name][1]
+            (found,) = scanner.scan(text)
+            assert text[found["start"] : found["end"]] == TEMPLATES[name][1] and found["differences"] == []
+
+
 def test_ranks(scanner):
     ranked = scanner.ranked("released under the mit license".split())
     assert ranked[0][1].name == "MIT"

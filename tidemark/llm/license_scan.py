@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
-Around each cue word a block of text is cut out. A block is compressed by itself and with each template as a raw
-dictionary; the templates are ranked by the bytes that they save. A template wins if, in the order of the ranks,
-its words are found in the block with no more than a few differences, none of them in a name or a number.
+Around cue words windows of text are cut out, of a bounded number of words. A window is compressed by itself and
+with each template as a raw dictionary; the templates are ranked by the bytes that they save. A template wins if, in
+the order of the ranks, its words are found in the window with no more than a few differences, none of them in a name
+or a number. Windows overlap: of notices found at the same place the one that saves most stays.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ CUES = (
     r"|related rights|\bCC(0|[ -]BY)"
 )
 DIFFERENT = 0.1  # share of a template's words that may differ
-SAVED = 0.1  # share of a template's own compressed size that it has to save
 
 # fixed values: notices as their licenses word them, and the short forms that documents use
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -92,6 +92,11 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+def _parameters() -> zstandard.ZstdCompressionParameters:
+    """The same with and without a dictionary: by itself the library takes those for tiny inputs with a small one."""
+    return zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 12)
+
+
 class Template:
     def __init__(self, name: str, text: str):
         self.name = name
@@ -99,44 +104,44 @@ class Template:
         # names and numbers: words with a digit, or with a capital that does not open the template
         self.strict = {m[0].lower() for i, m in enumerate(_WORD.finditer(text)) if re.search(r"\d", m[0]) or i and re.search(r"[A-Z]", m[0])}
         raw = " ".join(self.words).encode()
-        self.size = len(zstandard.ZstdCompressor(level=3).compress(raw))
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(level=3)
-        self.compressor = zstandard.ZstdCompressor(dict_data=dictionary)
+        dictionary.precompute_compress(compression_params=_parameters())
+        self.compressor = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=_parameters())
 
 
 class Scanner:
     def __init__(self, templates: Mapping[str, Sequence[str]], cues: str = CUES):
         self.templates = [Template(name, text) for name, texts in templates.items() for text in texts]
         self.cues = re.compile(cues)
-        self.plain = zstandard.ZstdCompressor(level=3)
+        self.plain = zstandard.ZstdCompressor(compression_params=_parameters())
         self.reach = 2 + max((len(t.words) for t in self.templates), default=0) * 5 // 4
 
-    def blocks(self, text: str) -> list[list[tuple[str, int, int]]]:
-        """Words around the cues, as far as the longest template reaches to either side; near ones together."""
-        marks = [m.start() for m in self.cues.finditer(text)]
-        if not marks:
-            return []
-        words = _words(text)
-        out, at, upto, place = [], 0, -1, 0
-        for mark in marks:
-            while place < len(words) and words[place][2] <= mark:
+    def windows(self, text: str, words: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+        """First and last + 1 of the words around the cues, as far as the longest template reaches to either side.
+
+        Cues within one reach share a window, so that none is longer than three, and windows grow with the words only.
+        """
+        out, place, head = [], 0, -1
+        for mark in self.cues.finditer(text):
+            while place < len(words) and words[place][2] <= mark.start():
                 place += 1
-            first, last = max(0, place - self.reach), min(len(words), place + self.reach)
-            if first > upto:
-                if upto >= 0:
-                    out.append(words[at:upto])
-                at = first
-            upto = last
-        out.append(words[at:upto])
+            upto = min(len(words), place + self.reach)
+            if 0 <= head and place - head <= self.reach:
+                out[-1] = (out[-1][0], upto)
+            else:
+                out.append((max(0, place - self.reach), upto))
+                head = place
         return out
 
     def ranked(self, words: list[str]) -> list[tuple[int, Template]]:
-        """Templates by the bytes that they save, most first; a tie goes to the longer one."""
+        """Templates by the bytes that they save, most first; a tie goes to the longer one.
+
+        None is left out: what a short notice saves is no more than the words around it make a dictionary lose or win.
+        """
         raw = " ".join(words).encode()
         alone = len(self.plain.compress(raw))
         saved = [(alone - len(t.compressor.compress(raw)), t) for t in self.templates]
-        return sorted(((n, t) for n, t in saved if n >= SAVED * t.size), key=lambda s: (-s[0], -len(s[1].words), s[1].name))
+        return sorted(saved, key=lambda s: (-s[0], -len(s[1].words), s[1].name))
 
     @staticmethod
     def differences(template: Template, words: list[str]) -> tuple[int, int, list[str]] | None:
@@ -167,24 +172,40 @@ class Scanner:
             return None
         return first + codes[0][3], first + codes[-1][4], changed
 
-    def scan(self, text: str) -> list[dict]:
-        """Licenses found, by their place; a later template of a block does not win where an earlier one has."""
-        out = []
-        for block in self.blocks(text):
-            words = [w for w, _, _ in block]
-            taken: list[tuple[int, int]] = []
-            while True:
-                # what has been found is left out, and what is left is ranked again
-                rest = [w if not any(a <= i < b for a, b in taken) else "" for i, w in enumerate(words)]
-                for saved, template in self.ranked([w for w in rest if w]):
-                    found = self.differences(template, rest)
-                    if found and "" not in rest[found[0] : found[1]]:
-                        taken.append(found[:2])
-                        out.append({"license": template.name, "start": block[found[0]][1], "end": block[found[1] - 1][2],
-                                    "saved": saved, "differences": found[2]})
-                        break
-                else:
+    def found(self, words: list[str]) -> list[tuple[int, Template, int, int, list[str]]]:
+        """Bytes saved, template, first and last + 1 word, differences; a word that is taken is empty."""
+        out, rest = [], list(words)
+        while True:
+            # what has been found is left out, and what is left is ranked again
+            for saved, template in self.ranked([w for w in rest if w]):
+                at = self.differences(template, rest)
+                if at and "" not in rest[at[0] : at[1]]:
+                    rest[at[0] : at[1]] = [""] * (at[1] - at[0])
+                    out.append((saved, template, *at))
                     break
+            else:
+                return out
+
+    def scan(self, text: str) -> list[dict]:
+        """Licenses found, by their place; where notices overlap, the one that saves most wins."""
+        spans = _words(text) if self.cues.search(text) else []
+        rest, out = [w for w, _, _ in spans], []
+        pending = self.windows(text, spans)
+        while pending:
+            every = [(f[0], f[1], f[2] + a, f[3] + a, f[4], (a, b)) for a, b in pending for f in self.found(rest[a:b])]
+            # one that differs and ends where its window does is likely to be cut off there
+            cut = lambda f: bool(f[4]) and (f[2] == f[5][0] or f[3] == f[5][1])
+            every.sort(key=lambda f: (cut(f), -f[0], -len(f[1].words), f[1].name, f[2], f[3]))
+            won, again = set(), set()
+            for saved, template, first, last, differences, window in every:
+                if "" not in rest[first:last]:
+                    rest[first:last] = [""] * (last - first)
+                    won.add((template, first, last))
+                    out.append({"license": template.name, "start": spans[first][1], "end": spans[last - 1][2],
+                                "saved": saved, "differences": differences})
+                elif (template, first, last) not in won:
+                    again.add(window)  # it has lost its place to a notice of another window
+            pending = sorted(again)
         return sorted(out, key=lambda f: (f["start"], f["license"]))
 
 
