@@ -1,0 +1,65 @@
+import numpy as np
+import pytest
+
+from tidemark.llm import whitening
+from tidemark.llm.whitening import whiten
+
+
+def brute(rows, components):
+    """Per key: deviation and whitened; the shares of the trace."""
+    x = np.floor(np.array([v for _, v in rows], np.float64) * 1024).astype(np.int64).astype(object) + 100_000
+    n = len(x)
+    apart = n * x - x.sum(axis=0)
+    centred = apart.astype(np.float64) / n
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:components]
+    return (apart**2).sum(axis=1), centred @ axes[:, order] / np.sqrt(values[order]), values[order] / values.sum(), values[order]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, v, 1, "x") for k, v in rows], "_row long, vec array<float>, n int, component string")
+
+
+@pytest.mark.parametrize("rows,length,found", [(700, 20, 8), (50, 5, 5), (33, 40, 8)])
+def test_like_numpy(spark, rows, length, found, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(whitening, "BLOCKS_A_SUM", 3)
+    draw = np.random.default_rng(rows)
+    scales = np.linspace(3, 0.5, length)
+    given = [(i * 7, [float(np.float32(c)) for c in draw.normal(size=length) * scales]) for i in range(rows)]
+    out = whiten(frame(spark, given).repartition(5), "_row", "vec")
+    assert out.columns == ["_row", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    deviation, whitened, explained, _ = brute(given, 8)
+    got = {(r._row, r.component): r for r in out.collect()}
+    assert len(got) == rows * found
+    assert all(r.n == rows and r.identity_error < 1e-9 for r in got.values())
+    for j in range(found):
+        own = np.array([got[k, j + 1].whitened for k, _ in given])
+        sign = np.sign(own @ whitened[:, j])
+        assert np.allclose(own * sign, whitened[:, j], atol=1e-9)
+        assert {got[k, j + 1].deviation for k, _ in given} and [got[k, j + 1].deviation for k, _ in given] == deviation.tolist()
+        assert abs(got[given[0][0], j + 1].explained - explained[j]) < 1e-12
+
+
+def test_vectors_left_out(spark):
+    good = [(i, [float(i), 1.0 / (i + 1), (-1.0) ** i]) for i in range(9)] + [(3, [1.0, 2.0, 3.0]), (None, [0.0, 0.0, 0.0]), (None, [0.0, 0.0, 0.0])]
+    bad = [(20, None), (21, []), (22, [1.0, None, 2.0]), (23, [float("nan"), 1.0, 1.0]), (24, [1.0, float("inf"), 1.0]), (25, [1.0, 2.0])]
+    out = whiten(frame(spark, good + bad), "_row", "vec").collect()
+    assert len(out) == 3 * len(good) and {r.n for r in out} == {len(good)}
+    assert {r._row for r in out} == {k for k, _ in good}
+    deviation, whitened, _, _ = brute(good, 3)
+    assert sorted(r.deviation for r in out if r.component == 1) == sorted(deviation.tolist())
+    assert np.allclose(sorted(abs(r.whitened) for r in out if r.component == 2), sorted(np.abs(whitened[:, 1])))
+
+
+def test_components_without_variance(spark):
+    flat = [(i, [float(i), 5.0]) for i in range(10)]
+    out = whiten(frame(spark, flat), "_row", "vec").collect()
+    assert all((r.whitened is None) == (r.component == 2) and r.identity_error < 1e-9 for r in out)
+    assert {r.explained for r in out} == {1.0, 0.0}
+    (one,) = whiten(frame(spark, [(1, [4.0])]), "_row", "vec").collect()
+    assert one[1:] == (1, 1, 0, None, None, None)
+    huge = [(i, [1e6 * i]) for i in range(2000)]
+    assert {r.deviation for r in whiten(frame(spark, huge), "_row", "vec").collect() if r._row in (0, 1999)} == {None}
+    assert whiten(frame(spark, []), "_row", "vec").count() == 0
+    assert whiten(frame(spark, [(1, None)]), "_row", "vec").columns == whiten(frame(spark, flat), "_row", "vec").columns
