@@ -1,0 +1,105 @@
+import random
+
+import numpy as np
+import pytest
+
+from tidemark.llm import window_dedup
+from tidemark.llm.window_dedup import Powers, drop_windows, least_of, rolling, windows
+
+
+def slow(rows, window):
+    """(key, n_words, n_removed, kept) by comparing all windows as they are."""
+    words = [(key, (text or "").encode().split()) for key, text in rows]
+    first = {}
+    for key, own in words:
+        for i in range(len(own) - window + 1):
+            if key is not None:
+                run = tuple(own[i : i + window])
+                first[run] = min(first.get(run, key), key)
+    out = []
+    for key, own in words:
+        gone = set()
+        for i in range(len(own) - window + 1):
+            if key is not None and first[tuple(own[i : i + window])] < key:
+                gone.update(range(i, i + window))
+        out.append((key, len(own), len(gone), b" ".join(w for i, w in enumerate(own) if i not in gone).decode()))
+    return sorted(map(repr, out))
+
+
+def got(df):
+    return sorted(repr((r[0], r.n_words, r.n_removed, r.kept)) for r in df.collect())
+
+
+def test_hashes_are_polynomials():
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 40, np.uint64)
+    (found,) = rolling(hashes, (7,), Powers())
+    for i, value in enumerate(found):
+        want = 0
+        for h in hashes[i : i + 7]:
+            want = (want * window_dedup.BASE + int(h)) % (1 << 64)
+        assert int(value) == want
+
+
+@pytest.mark.parametrize("width", range(1, 30))
+def test_least_of_neighbours(width):
+    values = np.random.default_rng(width).integers(0, 1 << 64, 64, np.uint64)
+    assert least_of(values, width).tolist() == [min(values[i : i + width]) for i in range(64 - width + 1)]
+
+
+def test_equal_windows_have_equal_marks():
+    powers = Powers()
+    one, two = [f"w{i % 37}".encode() for i in range(200)], [f"v{i}".encode() for i in range(90)]
+    texts = [b" ".join(one), b" ".join(two + one[20:75] + two), b"", b"a b"]
+    by_run = {}
+    for own, marks, hashes in windows(texts, 50, powers):
+        assert len(marks) == len(hashes) == max(0, len(own) - 49)
+        for i, pair in enumerate(zip(marks.tolist(), hashes.tolist(), strict=True)):
+            assert by_run.setdefault(tuple(own[i : i + 50]), pair) == pair
+    assert len(set(by_run.values())) == len(by_run)
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 8])
+def test_like_all_windows_compared(spark, table, window):
+    draw = random.Random(window)
+    rows = []
+    for _ in range(150):
+        words = [draw.choice("abcd") for _ in range(draw.randrange(40))]
+        rows.append((draw.choice([*range(60), None]), draw.choice([" ", "  \n"]).join(words)))
+    assert got(drop_windows(table(*rows), "doc_id", "text", window)) == slow(rows, window)
+
+
+def test_planted_passages(spark, table):
+    draw = random.Random(3)
+    text = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage, shorter = text(60), text(49)
+    rows = [(i, " ".join(text(80) + passage + text(30))) for i in range(40)]
+    rows += [(100 + i, " ".join(text(70) + shorter + text(70))) for i in range(10)]
+    rows += [(200, " ".join(text(80) + passage[:50] + text(2) + passage[5:] + text(9)))]
+    out = {r.doc_id: r for r in drop_windows(table(*rows), "doc_id", "text").collect()}
+    assert [r.n_removed for r in (out[i] for i in range(40))] == [0] + [60] * 39
+    assert not any(out[100 + i].n_removed for i in range(10))
+    assert out[5].spans == [(80, 140)] and out[200].spans == [(80, 130), (132, 187)]
+    assert sorted(map(repr, ((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.values()))) == slow(rows, 50)
+
+
+def test_awkward(spark, awkward):
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
+    for window in (2, 50):
+        assert got(drop_windows(awkward, "doc_id", "text", window)) == slow(rows, window)
+    assert drop_windows(awkward.where("false"), "doc_id", "text").count() == 0
+    named = awkward.selectExpr("_id as _key", "text as _raw", "doc_id as _mark", "doc_id as _copy")
+    assert drop_windows(named, "_key", "_raw").columns == ["_key", "n_words", "n_removed", "spans", "kept"]
+    assert drop_windows(named, "_key", "_raw").count() == awkward.count()
+
+
+def test_large_groups_without_broadcasts(spark, table, monkeypatch):
+    """A third of all rows are copies of a text, another third share a passage."""
+    monkeypatch.setattr("tidemark.operators.spread.SLICES", 40)
+    monkeypatch.setattr("tidemark.operators.spread.SLICE_ROWS", 10)
+    monkeypatch.setattr(window_dedup, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(window_dedup, "BATCH_WINDOWS", 64)
+    draw = random.Random(9)
+    text = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    copy, passage = text(70), text(55)
+    rows = [(i, " ".join((copy, text(10) + passage + text(5), text(60))[i % 3])) for i in range(240)]
+    assert got(drop_windows(table(*rows), "doc_id", "text")) == slow(rows, 50)

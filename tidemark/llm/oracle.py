@@ -85,4 +85,16 @@ ORACLE = {
                cast((epochs + case when rest > 0 and rest - ahead >= size / 2 then 1 else 0 end) * size as bigint) as taken
         from p
     """,
+    "op13_substring_dedup": r"""
+        with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        v as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from t, unnest(range(1, len(w) - 48)) u(i)),
+        f as (select h, min(doc_id) as least from v group by h having min(doc_id) < max(doc_id)),
+        g as (select distinct doc_id, i + unnest(range(50)) as gone from v join f using (h) where least < doc_id),
+        a as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t),
+        k as (select a.doc_id, count(gone) as n_removed, string_agg(word, ' ' order by i) filter (gone is null) as kept
+              from a left join g on a.doc_id = g.doc_id and i = gone group by a.doc_id)
+        select t.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+               sha256(coalesce(kept, '')) as kept_sha256
+        from t left join k on t.doc_id = k.doc_id
+    """,
 }

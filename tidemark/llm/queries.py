@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_encode
-from tidemark.llm.common import WORD, ascii_lower, whole
+from tidemark.llm.common import WORD, ascii_lower, whole, written
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.graph_index import nearest_neighbours
 from tidemark.llm.language_id import fit_languages, predict_languages
@@ -18,7 +18,10 @@ from tidemark.llm.line_dedup import repeated_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.passage_dedup import drop_repeats
 from tidemark.llm.simhash import near_dedup
+from tidemark.llm.token_alignment import align_tokens, link_counts, score_links
 from tidemark.llm.warc import warc_round_trip
+from tidemark.llm.whitening import whiten
+from tidemark.llm.window_dedup import drop_windows
 from tidemark.scratch import scratch_path
 from tidemark.sources.tables import load
 
@@ -135,3 +138,31 @@ def op10_mix_sources(spark, folder):
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
     mixed = mix_sources(quality_of(sized, labels), "doc_id", "source", F.col("size"), F.col("_weight"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op11_embedding_whitening(spark, folder):
+    (vectors,) = load(spark, folder, "embeddings")
+    return whiten(vectors, "vec_id", "embedding")
+
+
+@query
+def op13_substring_dedup(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    found = drop_windows(docs, "doc_id", "text")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_token_alignment(spark, folder):
+    (docs,) = load(spark, folder, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align_tokens(docs, "doc_id", "text", *paths)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "links", "times")
+    # the number, written with the rows, tells apart those that repeat a key
+    aligned = written(aligned.withColumn("_row", F.monotonically_increasing_id()), "aligned")
+    scored = score_links(aligned, "_row", written(link_counts(aligned), "scored-links"))
+    found = aligned.drop("links", "times").join(scored, "_row", "left")
+    sums = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_links", "n_best", "count_sum")]
+    return found.select("doc_id", "n_a", "n_b", "n_groups", *sums, "groups_sha256")
