@@ -1,0 +1,72 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import digests
+from tidemark.operators.digests import changed_ranges, key_digests, sync_plan_by_digest
+from tidemark.operators.sync import sync_plan
+
+SCHEMA = "k long, g string, a string, b double"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def table(df):
+    return sorted(map(tuple, df.select("k", "g", "action").collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("mode", ["mirror", "additive"])
+def test_same_as_the_full_plan(spark, seed, mode):
+    """Creates, updates, deletes, null keys and null values; values that move from one column to another."""
+    draw = random.Random(seed)
+    pick = lambda: draw.choice([None, "x", "y"])
+    rows = {(draw.choice([None, *range(40)]), pick()): (pick(), draw.choice([None, 0.0, 1.5])) for _ in range(150)}
+    other = dict(rows)
+    for key in draw.sample(sorted(rows, key=repr), 12):
+        change = draw.randrange(3)
+        if change == 0:
+            del other[key]
+        elif change == 1:
+            other[key] = (other[key][0], -1.0)
+        else:
+            other[key] = (None if other[key][0] else "x", other[key][1])
+    other[(99, None)] = ("new", None)
+    other[(None, "z")] = (None, None)
+    source, target = (frame(spark, [(*k, *v) for k, v in side.items()]) for side in (other, rows))
+    for coarse, fine in ((4, 8), (1, 1), (16, 64)):
+        got = sync_plan_by_digest(source, target, ["k", "g"], mode, coarse=coarse, fine=fine)
+        assert table(got) == table(sync_plan(source, target, ["k", "g"], mode))
+    empty = frame(spark, [])
+    for s, t in ((source, empty), (empty, target), (empty, empty)):
+        assert table(sync_plan_by_digest(s, t, ["k", "g"], mode)) == table(sync_plan(s, t, ["k", "g"], mode))
+
+
+def test_nothing_is_joined_where_nothing_changed(spark):
+    rows = frame(spark, [(i, None, str(i), 0.5) for i in range(500)])
+    same = rows.repartition(3).orderBy(F.col("k").desc())
+    plan = sync_plan_by_digest(same, rows, ["k"])
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.action) for r in plan.collect()} == {(i, "skip") for i in range(500)}
+
+
+def test_a_value_that_moves_to_the_next_column_is_seen(spark):
+    one, other = frame(spark, [(1, None, "x", None)]), frame(spark, [(1, "x", None, None)])
+    of = lambda df: key_digests(df, ["k"], ["g", "a", "b"])
+    assert changed_ranges(of(one), of(other)).count() == 1
+
+
+def test_only_rows_of_changed_ranges_are_joined(spark):
+    """One changed row of 4000: the join gets the rows of one fine range."""
+    rows = frame(spark, [(i, None, str(i), 0.5) for i in range(4000)])
+    changed = rows.withColumn("a", F.when(F.col("k") == 77, "other").otherwise(F.col("a")))
+    of = lambda df: key_digests(df, ["k"], ["g", "a", "b"])
+    assert of(rows).count() <= digests.COARSE * digests.FINE
+    (only,) = changed_ranges(of(changed), of(rows)).collect()
+    inside = rows.where(digests.ranges_of(["k"]) == only.fine)
+    assert inside.where("k = 77").count() == 1 and inside.count() < 10
+    got = sync_plan_by_digest(changed, rows, ["k"], target_digests=of(rows)).where("action <> 'skip'").collect()
+    assert [(r.k, r.action) for r in got] == [(77, "update")]

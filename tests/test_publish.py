@@ -1,10 +1,11 @@
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.scratch import scratch_path
-from tidemark.sources import publish
+from tidemark.sources import commits, publish
 from tidemark.sources.tables import read_documents
 
 
@@ -99,3 +100,61 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.conf").write_text("x 1\ny 2\n")
     out = read_documents(spark, str(tmp_path)).collect()
     assert [(r.path.rsplit("/", 1)[1], r.text) for r in out] == [("a.conf", "x 1\ny 2\n")]
+
+
+def pairs(spark, *rows):
+    return spark.createDataFrame(list(rows), "k long, v string")
+
+
+def test_a_failed_or_repeated_append_leaves_no_half_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    publish.write_table(frame(spark, 1), path, "overwrite")
+    broken = frame(spark, 2, 3).withColumn("n", F.when(F.col("n") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="lost"):
+        publish.write_table(broken, path, "append")
+    assert numbers(publish.published(spark, path)) == [1]
+    assert numbers(publish.write_table(frame(spark, 2, 3), path, "append")) == [1, 2, 3]
+    with pytest.raises(ValueError):
+        publish.write_table(frame(spark, 2).withColumnRenamed("n", "m"), path, "append")
+
+
+def test_a_candidate_is_not_read_before_it_is_published(spark, rules, tmp_path, monkeypatch):
+    reads = []
+    monkeypatch.setattr(publish, "_folders", lambda *a: reads.append(commits.numbers(spark, a[1])) or frame(spark))
+    root = str(tmp_path / "p")
+    publish.validated_publish(frame(spark, 1, 2), rules, root, 1)
+    publish.validated_publish(frame(spark, 1, -2), rules, root, 2)
+    assert reads == [[0], [0]]  # only to return the version in force
+
+
+def as_of(states, ts):
+    return sorted((tuple(r) for r in publish.state_as_of(states, ts).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_intervals_like_full_copies(spark, tmp_path, seed):
+    """Random states with changes, deletes and returns, null keys and values: each is restored whole."""
+    draw = random.Random(seed)
+    root, copies, state = str(tmp_path / "h"), {}, {}
+    for step in range(7):
+        for k in draw.sample([None, *range(9)], 4):
+            if k in state and draw.random() < 0.5:
+                del state[k]
+            else:
+                state[k] = draw.choice(["a", "b", None])
+        copies[100 + 10 * step] = sorted(state.items(), key=repr)
+        states = publish.interval_history(pairs(spark, *state.items()), root, ["k"], 100 + 10 * step)
+    for ts, rows in copies.items():
+        assert as_of(states, ts) == as_of(states, ts + 9) == rows
+    assert as_of(states, 99) == []
+    # rows are kept once for as long as they do not change
+    assert states.count() < sum(map(len, copies.values()))
+    for ts in (160, 120):
+        with pytest.raises(ValueError):
+            publish.interval_history(pairs(spark), root, ["k"], ts)
+    with pytest.raises(ValueError):
+        publish.interval_history(frame(spark, 1), root, ["n"], 900)
+    publish.interval_history(pairs(spark), root, ["k"], 900)
+    assert as_of(publish.intervals(spark, root), 900) == [] and as_of(publish.intervals(spark, root), 899) == copies[160]
+    commits.clean(spark, root, -1)
+    assert as_of(publish.intervals(spark, root), 125) == copies[120]

@@ -248,3 +248,12 @@ def test_filters(spark):
         assert kinds == {1: "real", 2: "virtual", 3: "other", 4: "virtual", 5: "other", 6: "other"}
     filled = filters.default_fill(df, {"n": "none", "id": 0}).collect()
     assert [r.n for r in filled] == ["eth0", "docker0", "lo", "br-1", "none", "none"]
+
+
+def test_drift_of_null_settings(spark):
+    from tidemark.operators.sync import config_drift
+
+    desired = spark.createDataFrame([(None, "v"), ("a", None), ("b", "1"), ("c", "2")], "s string, v string")
+    observed = spark.createDataFrame([(None, "v", 1), ("a", None, 1), ("b", None, 1)], "s string, v string, n int")
+    got = {r.s: r.action for r in config_drift(desired, observed, ["s"], "v", ["n"]).collect()}
+    assert got == {None: "skip", "a": "skip", "b": "replace", "c": "append"}

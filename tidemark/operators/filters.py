@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.spread import lookup_join
+from tidemark.operators.spread import lookup_join, spread_join
 
 
 def rule_check(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -76,3 +76,30 @@ def default_fill(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
         present = F.nullif(F.col(name), F.lit("")) if types[name] == "string" else F.col(name)
         filled[name] = F.coalesce(present, F.lit(value).cast(types[name]))
     return df.withColumns(filled)
+
+
+def longest_prefix(
+    df: DataFrame, col: str, prefixes: DataFrame, out: str, spread_by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``out``: the longest of the ``prefixes`` (first column of a table, plain text) that ``col`` starts with, or null.
+
+    The table may be of any size: each distinct value is cut to every length that a prefix has, and the cuts are looked up
+    by an equi-join. ``spread_by`` names columns that tell rows of ``df`` apart. A null value has no prefix, a null prefix
+    is none, and an empty one is a prefix of everything.
+    """
+    known = prefixes.select(F.col(prefixes.columns[0]).alias("_prefix")).where("_prefix is not null").distinct()
+    lengths = known.agg(F.collect_set(F.length("_prefix")))  # no more numbers than the longest prefix has characters
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+    fitting = counts.withColumn("_length", F.explode(lengths.scalar())).where(F.col("_length") <= F.length("_value"))
+    cuts = fitting.select("_value", F.substring("_value", F.lit(1), F.col("_length")).alias("_prefix"))
+    found = lookup_join(cuts, known, ["_prefix"], "inner", ["_value"])
+    found = found.groupBy("_value").agg(F.max_by("_prefix", F.length("_prefix")).alias("_longest"))
+    columns = df.columns
+    rows = df.withColumn("_value", F.col(col))
+    joined = spread_join(rows, found, ["_value"], "left", spread_by or columns, counts)
+    return joined.select(*columns, F.col("_longest").alias(out))
+
+
+def exclude_prefix_table(df: DataFrame, col: str, prefixes: DataFrame, spread_by: Sequence[str] = ()) -> DataFrame:
+    """``exclude_pattern_filter`` for prefixes in a table: drop rows whose ``col`` starts with one of them."""
+    return longest_prefix(df, col, prefixes, "_longest_prefix", spread_by).where("_longest_prefix is null").select(*df.columns)

@@ -125,7 +125,7 @@ def config_drift(
 ) -> DataFrame:
     """Add ``action`` to each desired setting (unique by ``key``): ``skip``, ``replace`` or ``append``.
 
-    The last observed entry by ``order`` decides. Entries whose ``commented`` column is true are left
+    The last observed entry by ``order`` decides. A null is a key like any other. Entries whose ``commented`` column is true are left
     out unless ``commented_counts``.
     """
     entries = observed
@@ -136,10 +136,11 @@ def config_drift(
     )
     action = (
         F.when(F.col("_found").isNull(), "append")
-        .when(F.col(value).eqNullSafe(F.col("_now")), "skip")
+        .when(F.col(f"d.{value}").eqNullSafe(F.col("_now")), "skip")
         .otherwise("replace")
     )
-    return desired.join(latest, list(key), "left").select(*desired.columns, action.alias("action"))
+    joined = desired.alias("d").join(latest.alias("l"), null_safe("d", "l", key), "left")
+    return joined.select(*[F.col(f"d.{c}").alias(c) for c in desired.columns], action.alias("action"))
 
 
 def drift_verdict(drift: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -113,6 +113,22 @@ SYNCED = """
     select url, page_id, cast(0 as double), cast(null as timestamp), cast(-1 as bigint) from pages
 """
 
+GAPS_PLAN = _with(
+    "gaps",
+    """
+    , s as (select k, g, max(event_id) as e from gaps group by k, g),
+    t as (select k, g, max(event_id) as e from gaps where v is null or v < 3 group by k, g)
+    select s.k, s.g, case when t.e is null then 'create' when t.e = s.e then 'skip' else 'update' end as action
+    from s left join t on s.k is not distinct from t.k and s.g is not distinct from t.g
+    """,
+)
+
+# starts of addresses, as the queries take them
+PREFIXES = """
+    with p as (select distinct substring(url, 1, 12 + cast(page_id % 40 as int)) as prefix from pages where page_id % 3 = 0),
+    f as (select page_id, url, (select max_by(prefix, length(prefix)) from p where starts_with(url, prefix)) as prefix from pages)
+"""
+
 ORACLE: dict[str, str] = {
     "scan_lines": """
         select doc_id, cast(unnest(range(len(l))) as integer) as pos, unnest(l) as line
@@ -141,6 +157,20 @@ ORACLE: dict[str, str] = {
         """,
     ),
     "snapshot_latest": oracle_input("old_orders"),
+    "interval_history": _with(
+        "old_orders",
+        f"""
+        , s as (select *, 1000000000 as t from old_orders union all select *, 1000000100 from ({ORDERS})
+                union all select *, 1000000200 from old_orders),
+        c as (select *, t - 100 * row_number() over (
+                  partition by o_orderkey, o_custkey, o_orderstatus, o_totalprice order by t) as island from s)
+        select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(min(t) as bigint) as valid_from,
+               cast(case when max(t) < 1000000200 then max(t) + 100 end as bigint) as valid_to
+        from c group by o_orderkey, o_custkey, o_orderstatus, o_totalprice, island
+        """,
+    ),
+    "state_as_of": oracle_input("old_orders"),
+    "racing_publishers": _with("old_orders", f"select * from old_orders union all {ORDERS}"),
     "rule_check": _with(
         "names",
         r"""
@@ -179,6 +209,8 @@ ORACLE: dict[str, str] = {
         select * from (select page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host from pages)
         where host not like 'blog.%' and host not like 'm.%' and host <> 'spam-farm.example.org'
     """,
+    "longest_prefix": PREFIXES + "select page_id, url, prefix from f",
+    "exclude_prefix_table": PREFIXES + "select page_id, url from f where prefix is null",
     "case_map": """
         select event_id, event_type,
                case when event_type in ('view', 'click') then 'read'
@@ -209,13 +241,14 @@ ORACLE: dict[str, str] = {
     "sync_plan_summary": _with(
         "old_orders", f"select action, count(*) as n from ({_sync_plan('delete')}) group by action"
     ),
-    "sync_plan_null_keys": _with(
-        "gaps",
-        """
-        , s as (select k, g, max(event_id) as e from gaps group by k, g),
-        t as (select k, g, max(event_id) as e from gaps where v is null or v < 3 group by k, g)
-        select s.k, s.g, case when t.e is null then 'create' when t.e = s.e then 'skip' else 'update' end as action
-        from s left join t on s.k is not distinct from t.k and s.g is not distinct from t.g
+    "sync_plan_by_digest": _with("old_orders", _sync_plan("delete")),
+    "sync_plan_null_keys": GAPS_PLAN,
+    "sync_plan_by_kept_digests": GAPS_PLAN,
+    "bucketed_upsert": _with(
+        "old_orders",
+        f"""
+        {ORDERS} union all
+        select * from old_orders where o_orderkey not in (select o_orderkey from orders)
         """,
     ),
     "sync_apply": _with(
@@ -282,6 +315,16 @@ ORACLE: dict[str, str] = {
     ),
     "config_drift": _drift("not commented"),
     "config_drift_commented": _drift("true"),
+    "config_drift_null_keys": _with(
+        "gaps",
+        """
+        , d as (select k, g, arg_min_null(v, event_id) as v from gaps group by k, g),
+        o as (select k, g, arg_max_null(v, event_id) as v from gaps where k is null or k <> 1 group by k, g)
+        select d.k, d.g, d.v, case when o.found is null then 'append' when d.v is not distinct from o.v then 'skip'
+                                   else 'replace' end as action
+        from d left join (select *, true as found from o) o on d.k is not distinct from o.k and d.g is not distinct from o.g
+        """,
+    ),
     "drift_verdict": _with(
         "observed",
         """
@@ -528,6 +571,7 @@ ORACLE: dict[str, str] = {
         select distinct props from events
         where props not in (select props from events where event_type = 'click' and props like '%7%')
     """,
+    "stream_insert_within_delay": "select distinct props from events",
     "stream_sync_apply": SYNCED,
     "stream_fold_batches": SYNCED,
 }

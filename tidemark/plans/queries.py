@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules, text
 from tidemark.functions.versions import is_stable
-from tidemark.operators import containment, filters, sequences, status, sync, versions
+from tidemark.operators import containment, digests, filters, sequences, status, sync, versions
 from tidemark.plans.inputs import BEGIN, BLOCK_BODY, DESIRED, END, spark_input
 from tidemark.scratch import scratch_path
-from tidemark.sources import joblog, publish, scan
+from tidemark.sources import buckets, commits, joblog, publish, scan
 from tidemark.sources.tables import load
 from tidemark.streaming import incremental
 
@@ -97,6 +97,40 @@ def snapshot_latest(spark, folder):
     return publish.snapshot_latest(history, 1_000_000_099).drop("snapshot_ts")
 
 
+@query
+def interval_history(spark, folder):
+    """Three states, the first one coming back at the end, with the time that each row counted."""
+    root, key = scratch_path(spark, "intervals"), ORDER_KEY
+    old, new = spark_input(spark, folder, "old_orders"), _orders(spark, folder)
+    publish.interval_history(old, root, key, 1_000_000_000)
+    publish.interval_history(new, root, key, 1_000_000_100)
+    return publish.interval_history(old, root, key, 1_000_000_200)
+
+
+@query
+def state_as_of(spark, folder):
+    root, key = scratch_path(spark, "intervals"), ORDER_KEY
+    publish.interval_history(spark_input(spark, folder, "old_orders"), root, key, 1_000_000_000)
+    history = publish.interval_history(_orders(spark, folder), root, key, 1_000_000_100)
+    return publish.state_as_of(history, 1_000_000_099)
+
+
+@query
+def racing_publishers(spark, folder):
+    """Two appends that start from the same version: one is told that the other was first, and tries again."""
+    root = scratch_path(spark, "racing")
+    old, new = spark_input(spark, folder, "old_orders"), _orders(spark, folder)
+    publish.write_table(old.where("o_orderkey < 0"), root, "overwrite")
+    number, entry = commits.latest(spark, root)
+    publish.write_table(old.where("o_orderkey >= 0"), root, "append")
+    try:  # an entry made from the version before
+        commits.commit(spark, root, number + 1, entry)
+    except commits.Conflict:
+        publish.write_table(new, root, "append")
+    commits.clean(spark, root, 3600)
+    return publish.published(spark, root)
+
+
 # predicates, mappings
 
 
@@ -148,6 +182,24 @@ def exclude_pattern_filter(spark, folder):
     return filters.exclude_pattern_filter(hosts, "host", ["blog[.]", "m[.]"], ["spam-farm.example.org"])
 
 
+def _prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts of addresses, thousands of them in a large table, of several lengths and some within others."""
+    pages = _table(spark, folder, "pages").where("page_id % 3 = 0")
+    return pages.select(F.expr("substring(url, 1, 12 + cast(page_id % 40 as int))").alias("prefix"))
+
+
+@query
+def longest_prefix(spark, folder):
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return filters.longest_prefix(pages, "url", _prefixes(spark, folder), "prefix", ["page_id"])
+
+
+@query
+def exclude_prefix_table(spark, folder):
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return filters.exclude_prefix_table(pages, "url", _prefixes(spark, folder), ["page_id"])
+
+
 @query
 def case_map(spark, folder):
     events = _table(spark, folder, "events").select("event_id", "event_type")
@@ -212,6 +264,32 @@ def sync_plan_null_keys(spark, folder):
     return sync.sync_plan(source, target, ["k", "g"])
 
 
+@query
+def sync_plan_by_digest(spark, folder):
+    return digests.sync_plan_by_digest(_orders(spark, folder), spark_input(spark, folder, "old_orders"), ORDER_KEY)
+
+
+@query
+def sync_plan_by_kept_digests(spark, folder):
+    """The old snapshot's digests were kept with it; keys may be null."""
+    gaps, root = spark_input(spark, folder, "gaps"), scratch_path(spark, "digests")
+    last = lambda df: df.groupBy("k", "g").agg(F.max("event_id").alias("e"))
+    target = last(gaps.where("v is null or v < 3"))
+    kept = publish.write_table(digests.key_digests(target, ["k", "g"], ["e"]), root, "overwrite")
+    return digests.sync_plan_by_digest(last(gaps), target, ["k", "g"], target_digests=kept)
+
+
+@query
+def bucketed_upsert(spark, folder):
+    """Two changes of a bucketed table, a small one and one of all buckets."""
+    root = scratch_path(spark, "buckets")
+    buckets.start_buckets(spark_input(spark, folder, "old_orders"), root, ORDER_KEY, 16)
+    orders = _orders(spark, folder)
+    buckets.upsert(orders.where(buckets.bucket_of(ORDER_KEY, 16) < 2), root)
+    buckets.upsert(orders, root)
+    return buckets.bucketed(spark, root)[0]
+
+
 @query
 def sync_apply(spark, folder):
     """Additive, then the plan for what was applied: all keys of the source are as they should be."""
@@ -301,6 +379,14 @@ def config_drift_commented(spark, folder):
     )
 
 
+@query
+def config_drift_null_keys(spark, folder):
+    """Settings whose name or value may be null, each as its first entry has it, against the last one."""
+    gaps = spark_input(spark, folder, "gaps").select("k", "g", "v", "event_id")
+    desired = gaps.groupBy("k", "g").agg(F.min_by("v", "event_id").alias("v"))
+    return sync.config_drift(desired, gaps.where("k is null or k <> 1"), ["k", "g"], "v", ["event_id"])
+
+
 @query
 def drift_verdict(spark, folder):
     desired = _desired(spark, folder, {"click": "1", "view": "1"})
@@ -611,6 +697,20 @@ def stream_insert_if_absent_existing(spark, folder):
     return _inserted(spark, incremental.stream_insert_if_absent(stream, ["props"], ["event_id"], existing))
 
 
+@query
+def stream_insert_within_delay(spark, folder):
+    """Events out of order in several batches: the state forgets, late rows are put aside, both are taken up."""
+    events, arriving = _table(spark, folder, "events"), scratch_path(spark, "stream-in")
+    events = events.select("props", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    for part in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.parquet(f"{arriving}/part={part}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{arriving}/part=*")
+    root, checkpoint = scratch_path(spark, "stream-within"), scratch_path(spark, "stream-checkpoint")
+    incremental.stream_insert_within_delay(stream, ["props"], "ts", 3600, root, checkpoint, ["event_id"]).awaitTermination()
+    existing = _table(spark, folder, "events").where("event_type = 'click' and props like '%7%'").select("props").distinct()
+    return incremental.taken_up(spark, root, existing, ["props"])
+
+
 EVENT_COLUMNS = ["props", "user_id", "value", "ts", "event_id"]
 
 
@@ -644,9 +744,9 @@ def stream_fold_batches(spark, folder):
     """The same, folded into a new version of the target; then nothing is left to add."""
     root, deltas = scratch_path(spark, "stream-target"), scratch_path(spark, "stream-deltas")
     stream, key, order = _event_stream(spark, folder).select(*EVENT_COLUMNS), ["props"], ["ts", "event_id"]
-    incremental.start_target(_event_target(spark, folder), root)
+    incremental.start_target(_event_target(spark, folder), root, key)
     checkpoint = scratch_path(spark, "stream-checkpoint")
     incremental.stream_sync_apply(stream, deltas, checkpoint, key, order).awaitTermination()
-    incremental.fold_batches(spark, root, deltas, key, order)
+    incremental.fold_batches(spark, root, deltas, order)
     target, upto = incremental.folded_target(spark, root)
     return incremental.stream_synced(spark, target, deltas, key, order, upto)
