@@ -7,10 +7,11 @@ the trie needs one step, whatever number of words pass through it.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -23,7 +24,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import small_batches, whole
 
-CACHE_WORDS = 200_000  # words whose encodings a worker keeps
+CACHE_WORDS = 100_000  # words whose encodings a worker keeps
+PAIRS = 300_000  # neighbouring tokens that a worker keeps
 CACHE_CHARS = 64  # longer words are not kept from one batch to the next
 
 # fixed values: the pattern of words, as the vocabulary's file states it, and the same for lower-case ASCII
@@ -38,6 +40,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _frozen(node: dict) -> dict:
+    """Symbols to pairs of what is below and the token that is spelled so far, or None."""
+    return {symbol: (_frozen(below), below.get("")) for symbol, below in node.items() if symbol}
+
+
 class Vocabulary:
     """Tokens and merges of a word-based BPE file: lower case, words closed by a suffix, no unknown token."""
 
@@ -69,15 +76,16 @@ class Vocabulary:
             if a in self.reached and b in self.reached and self._stay_apart(a, b, rank):
                 self.reached.add(made)
         # the tokens within words and those that close one, spelled from their last symbol
-        self.inner: dict = {}
-        self.closing: dict = {}
+        inner: dict = {}
+        closing: dict = {}
         for token, i in self.ids.items():
             if i in self.reached:
                 bare = token.removesuffix(self.suffix)
-                node = self.inner if bare == token or not bare else self.closing
+                node = inner if bare == token or not bare else closing
                 for symbol in reversed(bare or token):
                     node = node.setdefault(symbol, {})
                 node[""] = i
+        self.inner, self.closing = _frozen(inner), _frozen(closing)
         self.apart: dict[tuple[int, int], bool] = {}
 
     def _stay_apart(self, a: int, b: int, until: int) -> bool:
@@ -96,33 +104,41 @@ class Vocabulary:
         """Whether a and b next to each other stay two tokens."""
         known = self.apart.get((a, b))
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             known = self.apart[a, b] = self._stay_apart(a, b, len(self.rank))
         return known
 
     def _last(self, prefix: str, ends: dict, states: list) -> tuple[int, int]:
         """The last token (id, length) of a prefix; states[k] is that of its first k symbols."""
-        found, node, depth = [], ends, len(prefix)
-        for length in range(1, depth + 1):
-            node = node.get(prefix[depth - length])
-            if node is None:
+        found, depth = [], len(prefix)
+        at, apart = depth, self.apart
+        for symbol in reversed(prefix):
+            below = ends.get(symbol)
+            if below is None:
                 break
-            if "" in node:
-                found.append((node[""], length))
-        for token, length in reversed(found):
-            before = states[depth - length]
-            if before is None or self.adjacent(before[0], token):
-                return token, length
+            at -= 1
+            ends, token = below
+            if token is not None:
+                found.append((token, at))
+        while found:
+            token, at = found.pop()
+            before = states[at]
+            if before is None:
+                return token, depth - at
+            known = apart.get((before[0], token))
+            if known or known is None and self.adjacent(before[0], token):
+                return token, depth - at
         raise ValueError(f"no token ends {prefix!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of distinct words. Insert all into a trie and go through it depth first."""
         trie: dict = {}
+        symbol_of = self.symbols.__getitem__
         for word in words:
             node = trie
-            for byte in word.encode():
-                symbol = self.symbols[byte]
+            # printable ASCII stands for itself
+            for symbol in word if word.isascii() and word.isprintable() else map(symbol_of, word.encode()):
                 below = node.get(symbol)
                 if below is None:
                     below = node[symbol] = {}
@@ -132,22 +148,26 @@ class Vocabulary:
         states: list = [None]  # of the prefixes on the path from the root, by their length
         todo = [(below, 1, symbol) for symbol, below in trie.items()]
         path = ""
+        last_of, inner, closing = self._last, self.inner, self.closing
         while todo:
             node, depth, symbol = todo.pop()
             path = path[: depth - 1] + symbol
             del states[depth:]
             word = node.pop("", None)
             if word is not None:
-                ids, at, last = [], depth, self._last(path, self.closing, states)
-                while last is not None:
-                    ids.append(last[0])
-                    at -= last[1]
-                    last = states[at]
-                out[word] = ids[::-1]
+                token, length = last_of(path, closing, states)
+                ids, at = [token], depth - length
+                while at:
+                    token, length = states[at]
+                    ids.append(token)
+                    at -= length
+                ids.reverse()
+                out[word] = ids
             if node:  # longer words pass
-                states.append(self._last(path, self.inner, states))
+                states.append(last_of(path, inner, states))
+                depth += 1
                 for symbol, below in node.items():
-                    todo.append((below, depth + 1, symbol))
+                    todo.append((below, depth, symbol))
         return out
 
     def pieces(self, text: str) -> list[str]:
@@ -158,16 +178,27 @@ class Vocabulary:
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else split_words(part))]
 
     def encode(self, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
+        """Ids of each text. ``cache`` has words known from before and takes up new ones that are short."""
         split = [self.pieces(text) for text in texts]
-        new = set(chain.from_iterable(split)).difference(cache)
+        words = set(chain.from_iterable(split))
+        new = words.difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set(chain.from_iterable(split))
+            for word in cache.keys() - words:  # those that come again stay
+                del cache[word]
         special = new.intersection(self.special)
-        found = self.encode_words(new - special) | {word: [self.special[word]] for word in special}
-        known = cache | found
-        cache |= {word: ids for word, ids in found.items() if len(word) <= CACHE_CHARS}
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        collecting = gc.isenabled()
+        gc.disable()  # a trie has no cycles; looking for them in all its nodes takes a tenth of the time
+        try:
+            cache |= self.encode_words(new - special)
+        finally:
+            if collecting:
+                gc.enable()
+        cache |= {word: [self.special[word]] for word in special}
+        found = [list(chain.from_iterable(map(cache.__getitem__, words))) for words in split]
+        for word in new:
+            if len(word) > CACHE_CHARS:
+                del cache[word]
+        return found
 
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces, special ones too; the file names no decoder. Unknown ids are left out."""
@@ -187,22 +218,29 @@ def split_words(text: str) -> list[str]:
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str) -> tuple[Vocabulary, dict[str, list[int]]]:
+    """A vocabulary and the words that this worker has encoded by it; both stay with the worker."""
+    return Vocabulary(path), {}
 
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
-def _slices(texts: list[str]) -> Iterable[tuple[int, int]]:
-    start = held = 0
-    for at, text in enumerate(texts):
-        held += len(text)
-        if held > SLICE_BYTES:
-            yield start, at + 1
-            start, held = at + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of so many rows that their texts come to SLICE_BYTES, whatever batches they come in."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        start = 0
+        for at, text in enumerate(batch.column(1).to_pylist()):
+            texts.append(text)
+            held += len(text)
+            if held > SLICE_BYTES:
+                yield pa.concat_arrays([*keys, batch.column(0).slice(start, at + 1 - start)]), texts
+                keys, texts, held, start = [], [], 0, at + 1
+        if start < batch.num_rows:
+            keys.append(batch.column(0).slice(start))
+    if texts:
+        yield pa.concat_arrays(keys), texts
 
 
 def bpe_encode(docs: DataFrame, key: str, text: str, path: str, decoded: str | None = None) -> DataFrame:
@@ -221,22 +259,16 @@ def bpe_encode(docs: DataFrame, key: str, text: str, path: str, decoded: str | N
     names = [field.name for field in fields]
 
     def work(batches):
-        words, cache = vocabulary(path), {}
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in _slices(texts):
-                found = words.encode(texts[start:end], cache)
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
-                columns = [
-                    batch.column(0).slice(start, end - start),
-                    pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                ]
-                if decoded:
-                    columns.append(pa.array(map(words.decode, found), pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        words, cache = vocabulary(path)
+        for keys, texts in _slices(batches):
+            found = words.encode(texts, cache)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+            columns = [keys, pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded:
+                columns.append(pa.array(map(words.decode, found), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col(key), whole(F.col(text))).mapInArrow(work, T.StructType(fields))
 
@@ -246,7 +278,7 @@ def bpe_decode(encoded: DataFrame, key: str, ids: str, path: str) -> DataFrame:
     schema = T.StructType([encoded.schema[key], T.StructField("text", T.StringType())])
 
     def work(batches):
-        words = vocabulary(path)
+        words, _ = vocabulary(path)
         for batch in batches:
             texts = [words.decode(found or ()) for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
