@@ -31,7 +31,10 @@ def test_awkward(spark, tmp_path):
     pages = [(1, "http://a\r\nb", "x" * 200, "t", 1)] * 2 + [(None, None, "x" * 200, "t", 1), (None, None, None, "t", 1), (2, None, "y", "t", 1)]
     df = spark.createDataFrame(pages, SCHEMA)
     got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc_round_trip(df, "page_id", "url", "html", str(tmp_path / "w")).collect()), key=str)
-    assert got == [(1, "response", None), (2, "response", None), (None, "response", None), (None, "revisit", 1)]
+    assert got == [(1, "response", None), (1, "revisit", 1), (2, "response", None), (None, "response", None), (None, "revisit", 1)]
+    repeated = [(7, "u", "same", "t", 1)] * 2 + [(None, "u", "z" * 300, "t", 1)] * 2
+    out = warc_round_trip(spark.createDataFrame(repeated, SCHEMA), "page_id", "url", "html", str(tmp_path / "r")).collect()
+    assert sorted((str(r.page_id), r.record_type) for r in out) == [("7", "response")] * 2 + [("None", "response"), ("None", "revisit")]
     assert warc_round_trip(df.where("false"), "page_id", "url", "html", str(tmp_path / "e")).count() == 0
 
 
@@ -58,3 +61,11 @@ def test_parser():
         list(parse_archive(record[:-8], True))
     with pytest.raises(ValueError):
         list(parse_archive(b"HTTP/1.1 200 OK\r\n\r\n", True))
+
+
+def test_plain_and_gzipped_archives_of_any_name(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <%d>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for i, (name, pack) in enumerate([("a.warc", bytes), ("b.warc.gz", gzip.compress), ("deep/c", gzip.compress)]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(pack(record % i))
+    assert sorted(r.record_id for r in read_warc(spark, str(tmp_path)).collect()) == ["<0>", "<1>", "<2>"]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole, written
+from tidemark.llm.common import whole, with_ids, written
 from tidemark.operators.spread import lookup_join, spread_join
 
 MIN_BYTES = 100
@@ -48,7 +48,8 @@ def warc_records(pages: DataFrame, key: str, url: str, html: str, min_bytes: int
 
     Of pages with equal payloads (the html in UTF-8) of at least ``min_bytes`` bytes the smallest key is
     written as a response, others as revisits that refer to it and leave the payload out. Smaller payloads
-    are all responses. Request and metadata name the response or revisit they are concurrent to.
+    are all responses. Request and metadata name the response or revisit they are concurrent to. Of rows that repeat
+    the smallest key and payload one is the response; a null key counts as the largest.
     """
     payload = whole(F.col(html))
     rows = pages.select(
@@ -58,13 +59,15 @@ def warc_records(pages: DataFrame, key: str, url: str, html: str, min_bytes: int
         F.octet_length(payload).alias("_bytes"),
         F.sha2(payload, 256).alias("_digest"),
     )
+    rows = with_ids(rows, "_key")
     large = rows.where(F.col("_bytes") >= min_bytes)
-    first = large.groupBy("_digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    first = written(first.select("_digest", "_first", F.lit(True).alias("_copied")), "warc-copies")
-    rows = lookup_join(rows, first, ["_digest"], "left", ["_key"])
+    least = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_id")).alias("_least")
+    first = large.groupBy("_digest").agg(least, F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    first = written(first.select("_digest", F.col("_least._id").alias("_first")), "warc-copies")
+    rows = lookup_join(rows, first, ["_digest"], "left", ["_id"])
 
-    again = F.coalesce(F.col("_copied"), F.lit(False)) & ~F.col("_key").eqNullSafe(F.col("_first"))
-    capture = _urn("capture", F.col("_key"), F.col("_digest"))
+    again = F.coalesce(F.col("_id") != F.col("_first"), F.lit(False))
+    capture = _urn("capture", F.col("_id"), F.col("_digest"))
     uri = {"WARC-Target-URI": F.col("_url")}
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
@@ -88,14 +91,14 @@ def warc_records(pages: DataFrame, key: str, url: str, html: str, min_bytes: int
     asked = F.concat(F.lit("GET "), F.coalesce(F.col("_url"), F.lit("/")), F.lit(f" HTTP/1.1{END}Host: "), host, F.lit(END * 2))
     request = _record(
         "request",
-        _urn("request", F.col("_key"), F.col("_digest")),
+        _urn("request", F.col("_id"), F.col("_digest")),
         {**to, "Content-Type": F.lit("application/http;msgtype=request")},
         asked,
     )
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("_key").cast("string"), F.lit("")), F.lit(END))
     metadata = _record(
         "metadata",
-        _urn("metadata", F.col("_key"), F.col("_digest")),
+        _urn("metadata", F.col("_id"), F.col("_digest")),
         {**to, "Content-Type": F.lit("application/warc-fields")},
         about,
     )
@@ -190,7 +193,7 @@ def parse_archive(raw: bytes, payloads: bool) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives below ``path``, gzipped or not (columns: RECORD).
+    """The records of all archives below ``path``, gzipped or not, whatever their names (columns: RECORD).
 
     Each archive is read by one task, record by record. ``payloads=False`` leaves the bytes of payloads
     out; their length and digest are there all the same. A record cut short is an error.
@@ -210,7 +213,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return files.load(path).select("content").mapInPandas(parse, RECORD)
 
 
@@ -267,9 +270,9 @@ def captured_pages(captures: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame, key: str, url: str, html: str, path: str) -> DataFrame:
     """Write ``pages`` as archives below ``path``, read them back and give one row per page.
 
-    A null html is an empty payload, a null url leaves the target out. Rows that repeat both key and html
-    have the same record identifiers and come back as one page. A null key comes back as null, and counts
-    as the largest where the smallest is looked for. Other columns are ignored; an empty table gives no rows.
+    A null html is an empty payload, a null url leaves the target out. Every row has records of its own and comes back,
+    also one that repeats another. A null key comes back as null, and counts as the largest where the smallest is looked
+    for. Other columns are ignored; an empty table gives no rows.
     """
     write_warc(warc_records(pages, key, url, html), path)
     return captured_pages(assemble(read_warc(pages.sparkSession, path, payloads=False)))
