@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.versions import version_key
 from tidemark.operators import sequences, spread, status, versions
 from tidemark.operators.ranges import cut_in_ranges
-from tidemark.operators.spread import fits_broadcast, heavy_keys, lookup_join, spread_join
+from tidemark.operators.spread import fits_broadcast, heavy_keys, lookup_join, sketched_counts, spread_join
 from tidemark.operators.versions import version_sort
 
 ROWS = 30_000
@@ -149,3 +149,43 @@ def test_versions_of_any_scheme_are_ranked_in_ranges(spark, settings, shape):
     ranked = version_sort(df, ["g"], "v", ["id"])
     wrong = ranked.where(F.col("rank") != F.col("id") + 1).count()
     assert wrong == 0 and ranked.count() == 100_000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_sketched_like_counted(spark, skewed, shuffled, monkeypatch, how):
+    """Same heavy keys, same rows, spread alike; with few cells, where light keys share the cells of heavy ones, too."""
+    right = spark.range(0, 1000, 2).select(F.col("id").alias("key"), F.lit(1).alias("v"))
+    exact = heavy_keys(skewed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("_rows")), ["key"])
+    for cells in (65_536, 50):
+        monkeypatch.setattr(spread, "CELLS", cells)
+        counts, of = sketched_counts(skewed, ["key"])
+        assert sorted(map(tuple, heavy_keys(counts, ["key"], of).collect())) == sorted(map(tuple, exact.collect()))
+        got = spread_join(skewed, right, ["key"], how, ["id"], sketch=True)
+        want = skewed.join(right, ["key"], how)
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert largest_share(spread_join(skewed, right.union(right), ["key"], "left", ["id"], sketch=True)) < 0.1
+
+
+def test_a_missed_key_costs_balance_only(spark, skewed, shuffled, monkeypatch):
+    right = spark.range(0, 1000, 2).select(F.col("id").alias("key"), F.lit(1).alias("v"))
+    monkeypatch.setattr(spread, "sketched_counts", lambda left, on: (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).limit(0),) * 2)
+    got = spread_join(skewed, right, ["key"], "left", ["id"], sketch=True)
+    assert sorted(map(repr, got.select("key", "id", "v").collect())) == sorted(map(repr, skewed.join(right, "key", "left").collect()))
+
+
+def test_the_large_side_is_shuffled_once(spark, shuffled):
+    """Requests go through one exchange, that of the join; what counts them sends a row per cell and heavy key."""
+    from tidemark.operators.sync import cache_resolve
+
+    requests = spark.range(ROWS).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("id") % 7000).alias("url"))
+    cache = requests.where("page_id < 100").select("url")
+    found = cache_resolve(requests, cache, "url", ["page_id"])
+    assert found.count() == ROWS
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    of_requests = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "_key" in line]
+    # both sides of the join, the cache's distinct keys, and the keys of heavy cells
+    assert len(of_requests) <= 4
+    counts, cells = sketched_counts(requests, ["url"])
+    assert counts.count() <= 7000 and cells.count() <= 7000
+    # of keys that are all light, none is counted by itself
+    assert sketched_counts(spark.range(ROWS), ["id"])[0].count() == 0

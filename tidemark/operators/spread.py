@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SLICES = 131_072
 SLICE_ROWS = 10_000
 HEAVY = 4
+CELLS = 65_536  # a cell has half of a heavy key's least share on average
 
 # A lookup side is broadcast only when it is seen to be within both bounds.
 BROADCAST_ROWS = 100_000
@@ -43,10 +44,35 @@ def shared(aggregate: DataFrame, *columns: str) -> DataFrame:
     return aggregate.where(holds)
 
 
-def heavy_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Of ``counts`` (keys and their number of rows), the hashes of keys to cut and their number of slices."""
+def _slice_rows(counts: DataFrame) -> Column:
+    """Rows of one slice, of all that ``counts`` has."""
     total = counts.agg(F.sum("_rows").alias("_total"))
-    rows = F.greatest(total.scalar() / F.lit(float(SLICES)), F.lit(float(SLICE_ROWS)))  # of one slice
+    return F.greatest(total.scalar() / F.lit(float(SLICES)), F.lit(float(SLICE_ROWS)))
+
+
+def cell_of(on: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(CELLS))
+
+
+def sketched_counts(left: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Numbers of rows of all keys that may be heavy, and of all cells, without a shuffle of all keys.
+
+    Rows are counted by cells, hashes of the key with CELLS values: a row per cell and task is shuffled. A heavy key makes
+    its cell heavy, so that keys are counted in the few heavy cells only; the result is the same as of all counts.
+    """
+    keyed = left.select(*on)
+    for name in on:
+        keyed = keyed.where(F.col(name).isNotNull())
+    cells = keyed.groupBy(cell_of(on).alias("_cell")).agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = cells.where(F.col("_rows") > HEAVY * _slice_rows(cells)).select("_cell")  # fewer than SLICES / HEAVY
+    inside = keyed.withColumn("_cell", cell_of(on)).join(F.broadcast(heavy), "_cell", "left_semi")
+    return inside.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")), cells
+
+
+def heavy_keys(counts: DataFrame, on: Sequence[str], of: DataFrame | None = None) -> DataFrame:
+    """Of ``counts`` (keys and their number of rows), the hashes of keys to cut and their number of slices. ``of`` has
+    all rows in its ``_rows``, if ``counts`` has not."""
+    rows = _slice_rows(counts if of is None else of)
     return (
         counts.withColumn("_cut", F.ceil(F.col("_rows") / rows).cast("long"))
         .where(F.col("_cut") > HEAVY)
@@ -63,22 +89,27 @@ def spread_join(
     how: str,
     spread_by: Sequence[str],
     counts: DataFrame | None = None,
+    sketch: bool = False,
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi, left_anti) of a left side that may be skewed.
 
     ``spread_by`` names columns that tell the left rows of one key apart; the slice is a hash of them,
     so a task run a second time puts each row where it was. ``counts`` is a table of the key columns and
     the number of left rows per key, ``_rows``, for callers that have one; otherwise rows are counted,
-    with map-side partial sums.
+    with map-side partial sums, or with ``sketch`` by ``sketched_counts``, which reads the left side once more but does not
+    shuffle its keys.
     """
     on = list(on)
     no_key = F.lit(False)
     for name in on:
         no_key = no_key | F.col(name).isNull()
-    if counts is None:
+    cells = None
+    if counts is None and sketch:
+        counts, cells = sketched_counts(left, on)
+    elif counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     # null keys are left out by joins anyway; saying so here too lets equal aggregates share a shuffle
-    heavy = F.broadcast(heavy_keys(counts.where(~no_key), on))
+    heavy = F.broadcast(heavy_keys(counts.where(~no_key), on, cells))
 
     row_hash = F.xxhash64(*spread_by)
     # a row without a key matches nothing, so it may go to any slice

@@ -103,7 +103,7 @@ def cache_resolve(
     asked = _cache_key(requests, url, by)
     held = _cache_key(cache, url, by).select("_key").distinct().withColumn("_hit", F.lit(True))
     status = F.when(F.col("_hit"), "hit").otherwise("miss_offline" if offline else "fetch")
-    joined = spread_join(asked, held, ["_key"], "left", row_id)
+    joined = spread_join(asked, held, ["_key"], "left", row_id, sketch=True)
     return joined.select(*requests.columns, status.alias("status"))
 
 

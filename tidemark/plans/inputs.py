@@ -49,6 +49,20 @@ INPUTS: dict[str, tuple[tuple[str, ...], str]] = {
         from {events}
         """,
     ),
+    # the same in shapes that vary: numbers as text, fields that lack, no array, no JSON, nothing
+    "json_shapes": (
+        ("events",),
+        """
+        select event_id, case event_id % 6
+            when 0 then concat('{{"assets":[{{"kind":"', event_type, '","meta":{{"size":', cast(length(props) as string), '}}}}]}}')
+            when 1 then concat('{{"assets":[{{"kind":"', event_type, '","meta":"none"}},{{"other":1}}]}}')
+            when 2 then concat('{{"assets":"', event_type, '"}}')
+            when 3 then concat('{{"assets":[{{"kind":"', event_type)
+            when 4 then '{{"assets":[]}}'
+            else null end as doc
+        from {events}
+        """,
+    ),
     # a log of settings per node
     "observed": (
         ("events",),

@@ -147,6 +147,25 @@ ORACLE: dict[str, str] = {
           and regexp_matches(json_extract_string(item, '$.name'), '^v[0-9]+[.]')
         """,
     ),
+    "scan_file_lines": """
+        select doc_id, count(*) as n_lines, count(*) as span
+        from (select doc_id, unnest(string_split(case when ends_with(text, chr(10)) then left(text, -1) else text end, chr(10)))
+              from documents where text <> '')
+        group by doc_id
+    """,
+    "scan_json_variants": _with(
+        "json_shapes",
+        """
+        , v as (select event_id, doc, json_valid(doc) as ok from json_shapes),
+        a as (select event_id, doc, ok, case when ok then json_type(json_extract(doc, '$.assets')) end as kind from v),
+        i as (select event_id, unnest(cast(json_extract(doc, '$.assets') as json[])) as item from a where kind = 'ARRAY')
+        select event_id, json_extract_string(item, '$.kind') as kind,
+               try_cast(json_extract_string(item, '$.meta.size') as int) as size, null as reason from i
+        union all
+        select event_id, null, null, case when doc is null then 'null' when not ok then 'not JSON' else 'no array' end
+        from a where kind is null or kind <> 'ARRAY'
+        """,
+    ),
     "write_table": _with("old_orders", f"{ORDERS} union all select * from old_orders"),
     "validated_publish": ORDERS,
     "snapshot_history": _with(

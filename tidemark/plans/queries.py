@@ -63,6 +63,28 @@ def scan_json_index(spark, folder):
     )
 
 
+@query
+def scan_file_lines(spark, folder):
+    """All lines of one text file, read in splits; its text is that of the documents, with their numbers."""
+    lines = scan.scan_lines(_table(spark, folder, "documents"), "doc_id", "text")
+    path = scratch_path(spark, "text-file")
+    lines.select(F.concat_ws("\t", "doc_id", "pos", "line")).sortWithinPartitions("doc_id", "pos").write.text(path)
+    numbered = scan.scan_file_lines(spark, path)
+    return numbered.groupBy(F.split("line", "\t")[0].cast("long").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), (F.max("pos") - F.min("pos") + 1).alias("span")
+    )
+
+
+@query
+def scan_json_variants(spark, folder):
+    """Elements of arrays in JSON of several shapes, and the rows without one, with the reason."""
+    docs = spark_input(spark, folder, "json_shapes")
+    fields = {"kind": ("$.kind", "string"), "size": ("$.meta.size", "int")}
+    found, rejected = scan.scan_json_variants(docs, ["event_id"], "doc", "$.assets", fields)
+    none = [F.lit(None).cast(kind).alias(name) for name, (_, kind) in fields.items()]
+    return found.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected.select("event_id", *none, "reason"))
+
+
 @query
 def write_table(spark, folder):
     path = scratch_path(spark, "write-table")

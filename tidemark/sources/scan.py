@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import without_last_newline
+from tidemark.operators.spread import lookup_join
+from tidemark.scratch import scratch_path
 
 
 def scan_lines(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -16,6 +18,30 @@ def scan_lines(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(id, F.posexplode(lines).alias("pos", "line"))
 
 
+def scan_file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files to lines: (path, pos from 0, line), as ``scan_lines`` has them, but a file of any size is read in as many
+    splits as it has blocks.
+
+    Lines get their number within a split where they are read, and are written once with it, since another reading need
+    not split files at the same places. A split's first position is the number of lines in the splits before it: a row
+    per split. A single line has to fit a task's memory.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.col("value").alias("line"),
+    )
+    folder = scratch_path(spark, "file-lines")
+    lines.write.parquet(folder)
+    lines = spark.read.schema(lines.schema).parquet(folder)
+    splits = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_start", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    placed = lookup_join(lines, splits, ["path", "_block"], "inner", ["_at"])
+    return placed.select("path", (F.col("_start") + F.col("_at") - F.col("_first")).alias("pos"), "line")
+
+
 def scan_settings(df: DataFrame, id: str, text: str) -> DataFrame:
     """Lines ``[#] key value`` out of texts: (id, pos, setting, value, commented).
 
@@ -52,3 +78,23 @@ def scan_json_index(
     parsed = F.from_json(F.col(json), f"struct<`{array}`: array<struct<{element}>>>")
     items = df.select(*keep, F.explode(parsed[array]).alias("item"))
     return items.where(where).select(*keep, F.col("item")[field].alias(out))
+
+
+def scan_json_variants(
+    df: DataFrame, keep: Sequence[str], json: str, array: str, fields: Mapping[str, tuple[str, str]]
+) -> tuple[DataFrame, DataFrame]:
+    """JSON whose shape varies by row: the elements of the array at path ``array``, and the rows that have none.
+
+    ``fields`` gives each output column a path within the element and a type; what is not there, or has another type, is
+    null. Returns ``keep`` and the fields, a row per element, and ``keep`` with a ``reason`` for every row left out:
+    ``null``, ``not JSON``, or ``no array``. A row with an empty array is in neither. Paths read ``$.a.b[0]``.
+    """
+    parsed = df.select(F.struct(*keep).alias("_kept"), F.col(json).alias("_text"), F.try_parse_json(F.col(json)).alias("_json"))
+    found = parsed.withColumn("_items", F.try_variant_get("_json", array, "array<variant>"))
+    reason = (
+        F.when(F.col("_text").isNull(), "null").when(F.col("_json").isNull(), "not JSON").when(F.col("_items").isNull(), "no array")
+    )
+    rejected = found.where(reason.isNotNull()).select("_kept.*", reason.alias("reason"))
+    items = found.select("_kept", F.explode("_items").alias("_item"))
+    values = [F.try_variant_get("_item", path, kind).alias(name) for name, (path, kind) in fields.items()]
+    return items.select("_kept.*", *values), rejected
