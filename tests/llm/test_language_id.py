@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,26 @@ def test_batches(n):
     model = solve([presence("abc"), presence("xyz")], ["a", "x"])
     texts = ["abc", "xyz", ""] * n
     assert [name for name, _ in model.score(texts)] == ["a", "x", "und"] * n
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    """3,000 texts of one language, four texts with 2,500 copies each of another; both are learned and predicted."""
+    draw = random.Random(6)
+    words = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["zwrk", "kjhx", "qwvz", "xyzz"]}
+    text = lambda lang: " ".join(draw.choices(words[lang], k=20))
+    rows = [(text("aa"), "aa") for _ in range(3000)] + [(t, "bb") for t in (text("bb") for _ in range(4)) for _ in range(2500)]
+    model = fit_languages(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", F.xxhash64("text"))
+    assert model.languages == ["aa", "bb"]
+    asked = spark.createDataFrame([(i, text(lang), lang) for i in range(20) for lang in words], "_text long, text string, lang string")
+    found = predict_languages(asked, "_text", "text", model, ["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in found)
+
+
+def test_every_language_is_learned_or_refused(spark):
+    rows = [(chr(0x4E00 + 50 * n + k) * 9, f"l{n:03d}") for n in range(90) for k in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = fit_languages(docs, "text", "lang", F.xxhash64("text"))
+    assert len(model.languages) == 90
+    with pytest.raises(ValueError):
+        fit_languages(docs, "text", "lang", F.xxhash64("text"), languages=89)
+    assert fit_languages(docs.where("false"), "text", "lang", F.xxhash64("text")).languages == []

@@ -23,8 +23,8 @@ from tidemark.llm.common import small_batches, whole
 
 NGRAMS = (2, 3, 4)
 DIM_BITS = 16  # n-grams are hashed to so many bits
-SAMPLE = 400  # labelled texts per language that the fit expects to use, and LANGUAGES languages at most
-LANGUAGES = 64
+SAMPLE = 400  # labelled texts per language that the fit expects to use
+LANGUAGES = 1024  # more than this are refused, as the driver solves for all of them
 LANDMARKS = 256
 RIDGE = 1e-2
 BATCH = 32
@@ -126,21 +126,30 @@ def solve(samples: Sequence[Sequence[int]], languages: Sequence[str], landmarks:
     return LanguageModel(names, weights.astype(np.float32), (offset - mean @ slope).astype(np.float32))
 
 
-def fit_languages(docs: DataFrame, text: str, lang: str, draw: Column, sample: int = SAMPLE) -> LanguageModel:
-    """Fit on a bounded sample of labelled texts: about ``sample`` of each of the LANGUAGES most frequent languages.
+def fit_languages(
+    docs: DataFrame, text: str, lang: str, draw: Column, sample: int = SAMPLE, languages: int = LANGUAGES
+) -> LanguageModel:
+    """Fit on a bounded sample of labelled texts: about ``sample`` of each language, all of them if it has fewer.
 
-    ``draw`` is a long, evenly spread over all its values, that decides which rows are in the sample. Rows
-    without a language, a text or letters are left out. Presence vectors are made on the executors; the
-    driver gets ``sample`` of them a language, each of at most 2 to the power DIM_BITS n-grams.
+    ``draw`` is a long, evenly spread over all its values, that decides which rows are in the sample; rows of a language
+    with the same draw count once, so that with a hash of the text copies do not crowd out other texts. Rows without a
+    language, a text or letters are left out. Every language is learned; more than ``languages`` of them are an error.
+    Presence vectors are made on the executors; the driver gets ``sample`` of them a language, each of at most 2 to the
+    power DIM_BITS n-grams.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    taken = F.lit(False)
-    for row in counts:
-        share = min(1.0, sample / row["count"])
-        taken = taken | ((F.col("lang") == row["lang"]) & (F.abs(F.col("draw").cast("double")) <= share * 2.0**63))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("texts")).limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    if not counts:
+        return solve([], [])
+    reach = [(row["lang"], min(1.0, sample / max(1, row["texts"])) * 2.0**63) for row in counts]
+    reach = F.create_map(*[F.lit(value) for pair in reach for value in pair])[F.col("lang")]
+    taken = rows.where(F.abs(F.col("draw").cast("double")) <= reach)
+    # copies of a drawn text are drawn too: they meet in the tasks first
+    taken = taken.groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def grams(batches):
         for batch in batches:
@@ -150,8 +159,7 @@ def fit_languages(docs: DataFrame, text: str, lang: str, draw: Column, sample: i
             packed = pa.array([found[i].tobytes() for i in kept], pa.binary())
             yield pa.RecordBatch.from_arrays([langs, packed], names=["lang", "grams"])
 
-    drawn = rows.where(taken).select("lang", "text").mapInArrow(grams, "lang string, grams binary")
-    drawn = drawn.limit(2 * sample * max(1, len(counts)))
+    drawn = taken.select("lang", "text").mapInArrow(grams, "lang string, grams binary")
     found = sorted((r.lang, bytes(r.grams)) for r in drawn.collect())
     order = np.random.default_rng(0).permutation(len(found))
     return solve([np.frombuffer(found[i][1], np.int32) for i in order], [found[i][0] for i in order])
@@ -177,4 +185,4 @@ def predict_languages(docs: DataFrame, key: str, text: str, model: LanguageModel
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[field.name for field in fields])
 
-    return docs.select(*kept, whole(F.col(text)).alias("_text")).mapInArrow(work, T.StructType(fields))
+    return docs.select(*kept, whole(F.col(text)).alias("".join(kept) + "_")).mapInArrow(work, T.StructType(fields))
