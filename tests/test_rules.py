@@ -14,6 +14,7 @@ def test_host_labels(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     out = rule_check(df, rules.host_label_rules(F.col("n"))).collect()
     for row in out:
+        # fixed values: what a host label may be
         right = row.n is not None and re.fullmatch("[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?", row.n)
         assert row.valid == bool(right), row
         assert row.valid == (row.violations == [])

@@ -190,6 +190,7 @@ ORACLE: dict[str, str] = {
     ),
     "state_as_of": oracle_input("old_orders"),
     "racing_publishers": _with("old_orders", f"select * from old_orders union all {ORDERS}"),
+    # fixed values: what a host label may be
     "rule_check": _with(
         "names",
         r"""
