@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +21,7 @@ MODES = ("overwrite", "append", "create_if_absent")
 
 def read_pointer(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
     """The pointer table, or None before the first row of it was written."""
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/pointer")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return spark.read.schema(schema).parquet(f"{root}/pointer") if commits.names(spark, f"{root}/pointer") else None
 
 
 def point(spark: SparkSession, root: str, schema: str, *row) -> None:
