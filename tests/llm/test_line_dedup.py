@@ -55,6 +55,28 @@ def test_like_brute_force(spark, monkeypatch):
     check(spark, docs, 5, monkeypatch)
 
 
+def test_lengths_around_block_sizes(spark, monkeypatch):
+    """Edits at the first and last places of blocks, and lines whose neighbours have blocks of another size."""
+    draw = random.Random(5)
+    docs = []
+    for length in (5, 8, 9, 10, 16, 17, 25, 26, 63, 64, 65):
+        line = "".join(draw.choice("ab漢") for _ in range(length))
+        docs.append((len(docs), line))
+        for at in range(length):
+            edited = [line[:at] + "é" + line[at:], line[:at] + line[at + 1 :], line[:at] + "é" + line[at + 1 :], line + "é"]
+            docs.append((len(docs), draw.choice(edited)))
+    check(spark, docs, 5, monkeypatch)
+
+
+def test_very_long_lines(spark):
+    """Work does not grow with the square of the length."""
+    draw = random.Random(6)
+    line = "".join(draw.choices("abcdefgh ", k=300_000))
+    docs = [(1, line), (2, line[:123_456] + line[123_457:]), (3, line[:250_000] + "x" + line[250_001:]), (4, line + "yy")]
+    rows = repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {(r.doc_id, r.keep_key, r.edits) for r in rows} == {(2, 1, 1), (3, 1, 1)}
+
+
 def test_one_line_everywhere(spark):
     """Many lines around one variant are compared with the earliest, not with each other."""
     docs = spark.range(2000).selectExpr("id as doc_id", "concat('the same line for all but a sign: ', char(int(48 + id % 60))) as text")
