@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm.license_scan import TEMPLATES, Scanner, scan_licenses
+from tidemark.llm.license_scan import TEMPLATES, Scanner, known_licenses, scan_licenses, short_forms
 
 FILLER = "Some other prose that is not about terms at all, and goes on for a while. "
 
@@ -33,6 +33,42 @@ def test_others(scanner, text):
     assert scanner.scan(text) == []
 
 
+@pytest.fixture(scope="module")
+def full_scanner():
+    return Scanner(known_licenses())
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+     ("Licensed under the MIT License.", ["MIT"]), ("licensed under the terms of the MIT license", ["MIT"]),
+     ("Licensed under the Apache License 2.0", ["Apache-2.0"]), ("free to use under the GNU GPL v3", ["GPL-3.0"]),
+     ("Licensed under GPLv3, see the file", ["GPL-3.0"]), ("Released under the 2-Clause BSD License", ["BSD-2-Clause"]),
+     ("Mozilla Public License 2.0", ["MPL-2.0"]), ("GNU Lesser General Public License, version 2.1", ["LGPL-2.1"]),
+     ("SPDX-License-Identifier: GPL-1.0", []), ("Mozilla Public License 1.1", []), ("the MIT license is short", []), ("GPL", []),
+     ("under the BSD 4-Clause License", [])],
+)
+def test_short_forms(full_scanner, text, names):
+    for around in ("", FILLER * 3):
+        assert [f["license"] for f in full_scanner.scan(f"{around}{text} {around}")] == names
+
+
+def test_every_form_in_prose(full_scanner):
+    for name, texts in known_licenses().items():
+        for text in texts:
+            assert [f["license"] for f in full_scanner.scan(FILLER * 2 + text + ". " + FILLER)] == [name], text
+
+
+def test_forms_name_one_license():
+    words = [tuple(t.lower().replace(",", "").split()) for texts in short_forms().values() for t in texts]
+    assert len(set(words)) == len(words)
+
+
+def test_a_template_without_a_cue(table):
+    with pytest.raises(ValueError, match="no cue"):
+        scan_licenses(table((1, "x")), "doc_id", "text", {"Own": ["use it as you like"]})
+
+
 def test_several_in_a_long_text(scanner):
     text = FILLER * 400 + "Released under the MIT License. " + "Licensed under CC BY-NC 4.0. " + FILLER * 400 + "Released under the MIT License."
     assert [f["license"] for f in scanner.scan(text)] == ["MIT", "CC-BY-NC-4.0", "MIT"]

@@ -22,7 +22,7 @@ from tidemark.llm.common import whole
 
 CUES = (
     r"(?i)licen[sc]e|permission (is hereby granted|to use)|redistribution and use|neither the name of|public domain"
-    r"|related rights|\bCC(0|[ -]BY)"
+    r"|related rights|\bCC(0|[ -]BY)|\b[LA]?GPL|\b[ME]PL"
 )
 DIFFERENT = 0.1  # share of a template's words that may differ
 
@@ -84,6 +84,51 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+# fixed values: SPDX identifier, version, full names, short names
+VERSIONED: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("Apache-2.0", "2.0", ("Apache License", "Apache Software License"), ()),
+    ("GPL-2.0", "2", ("GNU General Public License",), ("GPL",)),
+    ("GPL-3.0", "3", ("GNU General Public License",), ("GPL",)),
+    ("LGPL-2.1", "2.1", ("GNU Lesser General Public License",), ("LGPL",)),
+    ("LGPL-3.0", "3", ("GNU Lesser General Public License",), ("LGPL",)),
+    ("AGPL-3.0", "3", ("GNU Affero General Public License",), ("AGPL",)),
+    ("MPL-2.0", "2.0", ("Mozilla Public License",), ("MPL",)),
+    ("EPL-2.0", "2.0", ("Eclipse Public License",), ("EPL",)),
+    ("BSL-1.0", "1.0", ("Boost Software License",), ()),
+)
+# fixed values: SPDX identifier, names that stand without a version
+UNVERSIONED: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("MIT License",)),
+    ("ISC", ("ISC License",)),
+    ("BSD-2-Clause", ("2-Clause BSD License", "BSD 2-Clause License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("3-Clause BSD License", "BSD 3-Clause License", "New BSD License")),
+    ("Zlib", ("Zlib License",)),
+)
+
+
+def short_forms() -> dict[str, tuple[str, ...]]:
+    """Templates of short notices: SPDX lines, names with a version however it is written, and names without a
+    version after words that put something under them."""
+    out: dict[str, list[str]] = {}
+    for spdx, version, names, short in VERSIONED:
+        numbers = [version] if "." in version else [version, f"{version}.0"]
+        ids = [spdx, *[f"{spdx}-{end}" for end in ("only", "or-later")]] if "GPL" in spdx else [spdx]
+        named = [f"{name}{how}{n}" for name in (*names, *short) for n in numbers for how in (" ", " version ", " v", " v. ")]
+        joined = [f"licensed under {the}{name}v{n}" for name in short for n in numbers for the in ("", "the ", "the GNU ")]
+        out[spdx] = [f"SPDX-License-Identifier: {i}" for i in ids] + named + joined
+    for spdx, names in UNVERSIONED:
+        out[spdx] = [f"SPDX-License-Identifier: {spdx}", *[f"{lead} the {name}" for name in names for lead in ("under", "terms of")]]
+    for spdx in TEMPLATES:  # what has no short name
+        out.setdefault(spdx, [f"SPDX-License-Identifier: {spdx}"] if spdx != "BSD" else [])
+    return {name: tuple(texts) for name, texts in out.items()}
+
+
+def known_licenses() -> dict[str, tuple[str, ...]]:
+    """Notices and short forms."""
+    short = short_forms()
+    return {name: (*TEMPLATES.get(name, ()), *short.get(name, ())) for name in sorted({*TEMPLATES, *short})}
+
+
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 FOUND = "array<struct<license:string,start:int,end:int,saved:int,differences:array<string>>>"
 
@@ -113,6 +158,9 @@ class Scanner:
     def __init__(self, templates: Mapping[str, Sequence[str]], cues: str = CUES):
         self.templates = [Template(name, text) for name, texts in templates.items() for text in texts]
         self.cues = re.compile(cues)
+        unseen = [text for texts in templates.values() for text in texts if not self.cues.search(text)]
+        if unseen:
+            raise ValueError(f"no cue leads to the template {unseen[0]!r}")
         self.plain = zstandard.ZstdCompressor(compression_params=_parameters())
         self.reach = 2 + max((len(t.words) for t in self.templates), default=0) * 5 // 4
 
@@ -214,10 +262,12 @@ def scan_licenses(docs: DataFrame, key: str, text: str, templates: Mapping[str,
     saved, and the differences in wording as ``template > text``. Nothing is shuffled; only texts with a cue go to
     Python workers.
 
-    A null or empty text, or one without a cue, has an empty list. Null and repeated keys and other columns do no
+    Templates are by default those of ``known_licenses``. A template in which no cue occurs is an error, as it would
+    never be looked for. A null or empty text, or one without a cue, has an empty list. Null and repeated keys and other columns do no
     harm; one row per input row comes out.
     """
-    given = dict(TEMPLATES if templates is None else templates)
+    given = known_licenses() if templates is None else dict(templates)
+    Scanner(given, cues)  # an error is raised here and not in a task
     schema = T.StructType([docs.schema[key], T.StructField("licenses", T._parse_datatype_string(FOUND))])
     kind = pa.list_(
         pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("saved", pa.int32()),
