@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import passage_dedup
+from tidemark.llm import suffix_array as suffix_arrays
 from tidemark.llm.passage_dedup import anchors, drop_repeats, repeated_in_shard, rolling_hashes
 from tidemark.llm.suffix_array import permuted_prefixes, suffix_array
 
@@ -40,6 +41,36 @@ def test_suffix_array():
             assert (before[b], shared[b]) == (a, same)
 
 
+@pytest.mark.parametrize("wave", [1, 5, 256])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.int32])
+def test_suffix_array_of_reduced_strings(monkeypatch, kind, wave):
+    """Strings that reduce several times, names of any width, and names that do not fit 16 bits."""
+    monkeypatch.setattr(suffix_arrays, "WAVE", wave)
+    draw = np.random.default_rng(2)
+    words = ["a", "ab"]
+    while len(words[-1]) < 700:
+        words.append(words[-1] + words[-2])
+    texts = [np.frombuffer(words[-1].encode(), np.uint8) - 96, np.ones(300), np.tile([3, 1, 2, 1], 90), np.arange(1, 200)]
+    texts += [draw.integers(1, 1 + most, 600) for most in (2, 9, 200)]
+    texts += [np.concatenate([draw.permutation(t) if i % 2 else t for i, t in enumerate([texts[-1][:50]] * 9)])]
+    calls, sort = [], suffix_arrays.suffix_array
+    monkeypatch.setattr(suffix_arrays, "suffix_array", lambda text: calls.append(len(text)) or sort(text))
+    for text in texts:
+        text = np.append(text, 0).astype(kind)
+        raw = text.tolist()
+        assert sort(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert len(calls) >= 12 and min(calls) < 10
+
+
+def test_suffix_array_of_many_names():
+    """More than 65,536 different names, some of them repeated."""
+    draw = np.random.default_rng(3)
+    text = np.append(np.tile(draw.integers(1, 255, 400_000).astype(np.uint8), 2)[:500_000], np.uint8(0))
+    raw, order = text.tobytes(), suffix_array(text).tolist()
+    assert sorted(order) == list(range(len(raw)))
+    assert all(raw[a : a + 100_100] < raw[b : b + 100_100] for a, b in zip(order[::97], order[1::97], strict=False))
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 7, 8, 64, 100, 200])
 def test_rolling_hashes(length):
     raw = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint8)

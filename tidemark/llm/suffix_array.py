@@ -1,16 +1,17 @@
-"""Suffix arrays by induced sorting, with numpy working on whole buckets at a time."""
+"""Suffix arrays by induced sorting, also of the reduced strings, with numpy working on whole waves at a time."""
 
 from __future__ import annotations
 
 import numpy as np
 
 
+WAVE = 256  # places looked at together at least
 BYTE_STEPS = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one; the last character has to be the only smallest one."""
-    step = np.sign(np.diff(text.astype(np.int16)))  # 1: smaller than the next character
+    step = np.sign(np.diff(text.astype(np.int32)))  # 1: smaller than the next character
     decided = np.where(step != 0, np.arange(len(step)), len(step))
     decided = np.minimum.accumulate(decided[::-1])[::-1]  # the next place where characters differ
     smaller = np.ones(len(text), bool)
@@ -18,53 +19,51 @@ def _types(text: np.ndarray) -> np.ndarray:
     return smaller
 
 
+def _scan(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, free: np.ndarray) -> None:
+    """Go through ``order`` (-1: empty) and put the wanted suffix before each one at the next free place of its bucket.
+
+    That place is always further on. So all suffixes that stand before the first place that they fill themselves
+    are dealt with at once: a wave within a bucket, or as many small buckets as do not reach into one another.
+    """
+    at, width = 0, WAVE
+    while at < len(order):
+        window = order[at : at + width]
+        places = np.flatnonzero(window > 0)
+        before = window[places] - 1
+        kept = wanted[before]
+        places, before = places[kept] + at, before[kept]
+        done = at + len(window)
+        if len(before):
+            first = text[before]
+            reach = np.minimum.accumulate(free[first])
+            late = places[1:] >= reach[:-1]
+            count = int(late.argmax()) + 1 if late.any() else len(places)
+            done = min(done, int(reach[count - 1]))
+            by_first = np.argsort(first[:count], kind="stable")
+            first = first[by_first]
+            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+            counts = np.diff(np.append(starts, count))
+            order[free[first] + np.arange(count) - np.repeat(starts, counts)] = before[by_first]
+            free[first[starts]] += counts
+        width = max(WAVE, 2 * (done - at))
+        at = done
+
+
 def _induce(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """Sort all suffixes, given the leftmost-smaller ones, sorted within each bucket of their first character.
 
-    Larger suffixes are put behind the heads of their buckets from left to right, smaller ones before the tails
-    from right to left; each wave moves all suffixes before the ones just placed.
+    Larger suffixes are put behind the heads of their buckets from left to right, then smaller ones before the
+    tails from right to left.
     """
-    size = np.bincount(text, minlength=256)
+    size = np.bincount(text)
     tails = np.cumsum(size)
-    heads = tails - size
-    large = np.bincount(text[~smaller], minlength=256)
-    order = np.empty(len(text), np.int32)
-
-    def before(placed: np.ndarray, kind: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes of a kind one to the left, by their first character, and the number of each."""
-        found = placed[placed > 0] - 1
-        found = found[smaller[found] == kind]
-        first = text[found]
-        return found[np.argsort(first, kind="stable")], np.bincount(first, minlength=256), first
-
-    end = heads.copy()
-    marks = np.bincount(text[leftmost], minlength=256)
-    mark_ends = np.cumsum(marks)
-    for c in np.flatnonzero(size):
-        start = heads[c]
-        while True:
-            last = start == end[c]
-            placed = leftmost[mark_ends[c] - marks[c] : mark_ends[c]] if last else order[start : end[c]]
-            start = end[c]
-            found, counts, _ = before(placed, False)
-            skip = np.cumsum(counts) - counts
-            order[np.repeat(end - skip, counts) + np.arange(len(found))] = found
-            end += counts
-            if last:
-                break
-    begin = tails.copy()
-    for c in np.flatnonzero(size)[::-1]:
-        start = tails[c]
-        while True:
-            last = start == begin[c]
-            placed = order[heads[c] : heads[c] + large[c]] if last else order[begin[c] : start]
-            start = begin[c]
-            found, counts, _ = before(placed[::-1], True)
-            skip = np.cumsum(counts) - counts
-            order[np.repeat(begin - 1 + skip, counts) - np.arange(len(found))] = found
-            begin -= counts
-            if last:
-                break
+    first = text[leftmost]
+    ends = np.cumsum(np.bincount(first, minlength=len(size)))
+    order = np.full(len(text), -1, np.int32)
+    order[tails[first] - ends[first] + np.arange(len(leftmost))] = leftmost
+    _scan(order, text, ~smaller, tails - size)
+    order[smaller[order]] = -1
+    _scan(order[::-1], text, smaller, len(text) - tails)
     order[0] = len(text) - 1  # the closing character
     return order
 
@@ -76,46 +75,31 @@ def packed(text: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
 
 
-def _names(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _names(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Rising numbers for sorted substrings, equal ones for equal neighbours."""
     a, b, n = starts[:-1], starts[1:], lengths[:-1]
     same = lengths[:-1] == lengths[1:]
     alive = np.flatnonzero(same)
+    wide = 8 if text.dtype == np.uint8 else 1  # characters compared at a time
+    words = packed(text) if wide == 8 else text
     at = 0
     while len(alive):
         left = n[alive] - at
-        shift = np.clip(8 - left, 0, 8).astype(np.uint64) * np.uint64(8)
         apart = words[a[alive] + at] ^ words[b[alive] + at]
-        equal = np.where(shift >= 64, 0, apart >> np.minimum(shift, np.uint64(63))) == 0
+        if wide == 8:
+            apart >>= np.clip(8 - left, 0, 7).astype(np.uint64) * np.uint64(8)
+        equal = apart == 0
         same[alive[~equal]] = False
-        at += 8
-        alive = alive[equal & (left > 8)]
+        at += wide
+        alive = alive[equal & (left > wide)]
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _sort_names(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of a string of names: pairs of neighbouring names get names in turn, until all
-    differ or cover ``depth`` names."""
-    rank, reach = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while depth is None or reach < depth:
-        following = np.zeros(len(rank), np.int64)
-        following[:-reach] = rank[reach:] + 1
-        key = rank * (len(rank) + 1) + following
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        rank[order] = fresh
-        reach *= 2
-        if fresh[-1] == len(rank) - 1 or reach >= len(rank):
-            break
-    return order
-
-
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Order of all suffixes of uint8 characters; the last one has to be 0 and to occur nowhere else.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a string of whole numbers, 0 and up; its last one has to be 0, and the only 0.
 
-    With ``depth`` suffixes that agree on so many characters may come in any order.
+    Leftmost-smaller substrings are sorted by induction and named in that order. Where names repeat, the string of
+    names, at most half as long, is sorted in the same way; the order of its suffixes induces that of all.
     """
     if len(text) < 3:
         return np.arange(len(text), dtype=np.int32)[::-1].copy()
@@ -123,18 +107,18 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
     by_first = leftmost[np.argsort(text[leftmost], kind="stable")]
     order = _induce(text, smaller, by_first)
-    is_leftmost = np.zeros(len(text), bool)
-    is_leftmost[leftmost] = True
-    substrings = order[is_leftmost[order]]  # sorted up to the next leftmost-smaller place
     number = np.full(len(text), -1, np.int32)
     number[leftmost] = np.arange(len(leftmost), dtype=np.int32)
+    substrings = order[number[order] >= 0]  # sorted up to the next leftmost-smaller place
     ends = np.append(leftmost[1:], len(text) - 1)
     lengths = (ends - leftmost + 1)[number[substrings]]
-    names = _names(packed(text), substrings, lengths)
+    names = _names(text, substrings, lengths)
     if names[-1] < len(names) - 1:
-        in_text = np.empty(len(names), np.int64)
-        in_text[number[substrings]] = names
-        substrings = leftmost[_sort_names(in_text, depth and depth // 2 + 1)]
+        # 16 bits where they do, since numpy sorts them by radix
+        reduced = np.empty(len(names), np.uint16 if names[-1] < 1 << 16 else np.int32)
+        reduced[number[substrings]] = names
+        del order, substrings, lengths, names, number
+        substrings = leftmost[suffix_array(reduced)]
     return _induce(text, smaller, substrings)
 
 
