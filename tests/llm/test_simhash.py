@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -63,6 +64,48 @@ def test_links_keep_all_components(spark, monkeypatch):
     assert {x: got.get(x, x) for x in fps} == want
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_a_half_that_most_fingerprints_share(spark, monkeypatch, half):
+    """Such a half is cut by as many bits as its load needs: no place has twice the variants of a bucket, no link is lost."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    draw, fps = random.Random(8 + half), set()
+    for size in (1200, 150, 40, 20):
+        kept, base = draw.getrandbits(32), draw.getrandbits(32)
+        while size:
+            other = base if size % 2 else draw.getrandbits(32)
+            for _ in range(draw.randrange(5)):
+                other ^= 1 << draw.randrange(32)
+            number = kept << 32 | other if half else other << 32 | kept
+            size -= number not in fps
+            fps.add(number)
+    fps = sorted(map(signed, fps))
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    near = [(a, b) for a, b in itertools.combinations(fps, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    got = {r.node: r.component for r in components(near_links(table)).collect()}
+    assert {x: got.get(x, x) for x in fps} == roots(near, fps)
+    assert {r._bits for r in simhash.hot_halves(table).collect()} >= {2, 4, 8}
+    even = [x for x in fps if x.bit_count() % 2 == 0]
+    around = {x ^ f for x in fps for f in simhash.ONE_FLIP if (x ^ f).bit_count() % 2 == 0}
+    near = spark.createDataFrame([(v, v) for v in around], "variant long, least long")
+    far, near = simhash.meeting(spark.createDataFrame([(x,) for x in even], "fp long"), near, table)
+    assert near.groupBy(*simhash.PLACE).count().agg(F.max("count")).first()[0] <= 2 * 33 * simhash.BUCKET
+    # a fingerprint comes to a place once; near copies come to the same places, however their half is cut
+    assert far.groupBy(*simhash.PLACE).agg((F.count("fp") - F.count_distinct("fp")).alias("again")).agg(F.max("again")).first()[0] == 0
+
+
+@pytest.mark.parametrize("bits", simhash.FOLDS)
+def test_folded_halves(spark, bits):
+    draw = random.Random(bits)
+    halves = [0, 1, (1 << 32) - 1, *[draw.getrandbits(32) for _ in range(50)]]
+    want = [sum((sum(x >> i & 1 for i in range(k, 32, bits)) % 2) << k for k in range(bits)) for x in halves]
+    assert simhash._folded(np.array(halves, np.int64), bits).tolist() == want
+    table = spark.createDataFrame([(x,) for x in halves], "x long")
+    got = {r.x: r.c for r in table.select("x", simhash._folded(F.col("x"), bits).alias("c")).collect()}
+    assert [got[x] for x in halves] == want
+    reached = {simhash._folded(np.array([1 << i ^ 1 << j]), bits)[0] for i in range(32) for j in range(i)}
+    assert reached == set(simhash._two_changes(bits))
+
+
 def test_components(spark):
     draw = random.Random(1)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 60)] + [(draw.randrange(200, 400), draw.randrange(200, 400)) for _ in range(120)]
