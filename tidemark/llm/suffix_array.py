@@ -25,26 +25,38 @@ def _scan(order: np.ndarray, text: np.ndarray, wanted: np.ndarray, free: np.ndar
     That place is always further on. So all suffixes that stand before the first place that they fill themselves
     are dealt with at once: a wave within a bucket, or as many small buckets as do not reach into one another.
     """
-    at, width = 0, WAVE
+    at, width, numbers = 0, WAVE, np.arange(len(order))
     while at < len(order):
         window = order[at : at + width]
-        places = np.flatnonzero(window > 0)
-        before = window[places] - 1
-        kept = wanted[before]
-        places, before = places[kept] + at, before[kept]
-        done = at + len(window)
-        if len(before):
+        before = window - 1
+        kept = (wanted[before] & (window > 0)).nonzero()[0]
+        before = before[kept]
+        done, count = at + len(window), len(before)
+        if count:
             first = text[before]
-            reach = np.minimum.accumulate(free[first])
-            late = places[1:] >= reach[:-1]
-            count = int(late.argmax()) + 1 if late.any() else len(places)
+            to = free[first]
+            reach = np.minimum.accumulate(to)
+            late = (kept[1:] >= reach[:-1] - at).nonzero()[0]
+            if len(late):
+                count = late[0] + 1
+                before, first, to = before[:count], first[:count], to[:count]
             done = min(done, int(reach[count - 1]))
-            by_first = np.argsort(first[:count], kind="stable")
-            first = first[by_first]
-            starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            counts = np.diff(np.append(starts, count))
-            order[free[first] + np.arange(count) - np.repeat(starts, counts)] = before[by_first]
-            free[first[starts]] += counts
+            by_first = first.argsort(kind="stable")
+            first, to = first[by_first], to[by_first]
+            new = (first[1:] != first[:-1]).nonzero()[0] + 1
+            if len(new) == count - 1:
+                to += 1
+                order[to - 1] = before[by_first]
+                free[first] = to
+            else:
+                starts = np.zeros(len(new) + 1, np.int64)
+                starts[1:] = new
+                counts = np.empty_like(starts)
+                counts[:-1] = new
+                counts[-1] = count
+                counts -= starts
+                order[to + numbers[:count] - starts.repeat(counts)] = before[by_first]
+                free[first[starts]] += counts
         width = max(WAVE, 2 * (done - at))
         at = done
 
@@ -114,14 +126,35 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     lengths = (ends - leftmost + 1)[number[substrings]]
     names = _names(text, substrings, lengths)
     if names[-1] < len(names) - 1:
-        # 16 bits where they do, since numpy sorts them by radix
-        reduced = np.empty(len(names), np.uint16 if names[-1] < 1 << 16 else np.int32)
-        reduced[number[substrings]] = names
+        in_text = np.empty(len(names), np.int32)
+        in_text[number[substrings]] = names
         del order, substrings, lengths, names, number
-        substrings = leftmost[suffix_array(reduced)]
+        substrings = leftmost[_by_names(in_text)]
     return _induce(text, smaller, substrings)
 
 
+def _by_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names.
+
+    No comparison goes beyond a name that occurs once, so that of neighbouring ones only the first is sorted with the
+    others; where the rest stand is clear from their names.
+    """
+    counts = np.bincount(names)
+    once = counts[names] == 1
+    gone = np.zeros(len(names), bool)
+    gone[1:-1] = once[1:-1] & once[:-2]
+    kept = np.flatnonzero(~gone)
+    used = np.zeros(len(counts), np.int32)
+    used[names[kept]] = 1
+    shorter = (np.cumsum(used) - 1)[names[kept]]
+    # 16 bits where they do, since numpy sorts them by radix
+    sorted_kept = kept[suffix_array(shorter.astype(np.uint16 if shorter.max() < 1 << 16 else np.int32))]
+    order = np.full(len(names), -1, np.int64)
+    order[(np.cumsum(counts) - 1)[names[gone]]] = np.flatnonzero(gone)
+    order[order < 0] = sorted_kept
+    return order
+
+
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, breaks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place the suffix before it in the order (-1 for the first), and the length of their common prefix.
 
