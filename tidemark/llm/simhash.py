@@ -42,7 +42,7 @@ def _signed(value: int) -> int:
 ONE_FLIP = [0, *[_signed(1 << i) for i in range(BITS)]]
 HALVES = (range(BITS // 2), range(BITS // 2, BITS))
 TWO_FLIPS = [np.array([_signed(1 << i | 1 << j) for i in half for j in half if i < j], np.int64) for half in HALVES]
-BUCKET = 4096  # fingerprints that meet in a group, on average
+BUCKET = 1024  # fingerprints that meet in a group, on average
 # A half is folded to so many bits if its load makes up to so many buckets. All variants that meet are even, so that
 # half of the values of the bits are in use. The last one is for all loads: no more than 2 ** 16 variants of a half
 # fold to the same 16 bits.
