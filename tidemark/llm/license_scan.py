@@ -264,11 +264,11 @@ def scan_licenses(docs: DataFrame, key: str, text: str, templates: Mapping[str,
 
     Templates are by default those of ``known_licenses``. A template in which no cue occurs is an error, as it would
     never be looked for. A null or empty text, or one without a cue, has an empty list. Null and repeated keys and other columns do no
-    harm; one row per input row comes out.
+    harm; one row per input row comes out. A key may have any name; ``licenses`` gives two columns of that name, the key first.
     """
     given = known_licenses() if templates is None else dict(templates)
     Scanner(given, cues)  # an error is raised here and not in a task
-    schema = T.StructType([docs.schema[key], T.StructField("licenses", T._parse_datatype_string(FOUND))])
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("licenses", T._parse_datatype_string(FOUND))])
     kind = pa.list_(
         pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("saved", pa.int32()),
                    ("differences", pa.list_(pa.string()))])
@@ -281,4 +281,5 @@ def scan_licenses(docs: DataFrame, key: str, text: str, templates: Mapping[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=schema.names)
 
     body = whole(F.col(text))
-    return docs.select(F.col(key), F.when(F.regexp(body, F.lit(cues)), body).alias("_text")).mapInArrow(work, schema)
+    texts = docs.select(F.col(key).alias("_key"), F.when(F.regexp(body, F.lit(cues)), body).alias("_text"))
+    return texts.mapInArrow(work, schema).withColumnRenamed("_key", key)

@@ -245,13 +245,14 @@ def drop_repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gra
     characters can be cut. Nothing is left over of several equal texts.
 
     A null text is empty; texts shorter than the window stay. Null or repeated keys do no harm: such tables get
-    row numbers of their own (with_ids). Other columns are ignored; an empty table gives no rows.
+    row numbers of their own (with_ids). Other columns are ignored; an empty table gives no rows. A key may have any
+    name; one of a result's column gives two columns of that name, the key first.
     """
     if gram > window:
         raise ValueError("an anchor has to fit into the window")
-    rows = with_ids(docs.select(key, whole(F.col(text)).alias("_text")), key)
+    rows = with_ids(docs.select(F.col(key).alias("_key"), whole(F.col(text)).alias("_text")), "_key")
     spans = repeated_spans(rows, window, gram)
-    kind = docs.schema[key]
+    kind = T.StructField("_key", docs.schema[key].dataType)
     schema = T.StructType(
         [kind, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
          T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
@@ -268,5 +269,5 @@ def drop_repeats(docs: DataFrame, key: str, text: str, window: int = WINDOW, gra
                 names=schema.names,
             )
 
-    joined = rows.select("_id", key, F.col("_text").cast("binary").alias("_raw")).join(spans, "_id", "left")
-    return joined.select(key, "_raw", "_spans").mapInArrow(work, schema)
+    joined = rows.select("_id", "_key", F.col("_text").cast("binary").alias("_raw")).join(spans, "_id", "left")
+    return joined.select("_key", "_raw", "_spans").mapInArrow(work, schema).withColumnRenamed("_key", key)

@@ -210,9 +210,11 @@ def near_dedup(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
     anything but ASCII white space; shingles count as often as they occur; a text of fewer words is one
     shingle. A null text or one without words has the fingerprint 0, which is linked like any other.
     Rows that repeat a key, and rows with a null key, are linked like others; a component of null keys
-    only has a null component_id. Other columns are ignored; an empty table gives no rows.
+    only has a null component_id. Other columns are ignored; an empty table gives no rows. A key may have any name;
+    one of a result's column gives two columns of that name, the key first.
     """
-    rows = written(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "_key"), "fingerprints")
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = written(fingerprints(texts, "_key", "_text", shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("_key").alias("_least"), F.count(F.lit(1)).alias("_rows"))
     nodes = written(nodes, "fingerprint-nodes")
     linked = components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
