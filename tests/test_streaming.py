@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.sync import sync_apply
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import commits
+from tidemark.streaming import incremental
 from tidemark.streaming.incremental import (
     arrivals,
     fold_batches,
@@ -178,3 +180,20 @@ def test_folding_rewrites_touched_buckets_and_folded_batches_go(spark, tmp_path)
     assert sorted(map(tuple, target.collect())) == want
     assert len(commits.forget(spark, deltas, upto, -1)) == 2 and commits.numbers(spark, deltas) == []
     assert sorted(map(tuple, stream_synced(spark, target, deltas, key, order, upto).collect())) == want
+
+
+def test_batches_of_the_query_do_not_grow_with_its_files(spark, events, tmp_path, monkeypatch):
+    """What tasks send to the driver grows with batches times partitions of the state: three batches, however many files."""
+    events.repartition(24).write.parquet(str(tmp_path / "events.parquet"))
+    queries = []
+
+    def started(*arguments):
+        queries.append(stream_insert_within_delay(*arguments))
+        return queries[-1]
+
+    monkeypatch.setattr(incremental, "stream_insert_within_delay", started)
+    got = QUERIES["stream_insert_within_delay"](spark, str(tmp_path)).collect()
+    assert sorted(r.props for r in got) == sorted(r.props for r in events.select("props").distinct().collect())
+    taken = [p["numInputRows"] for p in queries[0].recentProgress if p["numInputRows"]]
+    # both branches of the query read each batch
+    assert len(taken) == 3 and sum(taken) == 2 * events.count()

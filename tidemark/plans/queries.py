@@ -721,12 +721,14 @@ def stream_insert_if_absent_existing(spark, folder):
 
 @query
 def stream_insert_within_delay(spark, folder):
-    """Events out of order in several batches: the state forgets, late rows are put aside, both are taken up."""
+    """Events out of order in three batches: the state forgets, late rows are put aside, both are taken up."""
     events, arriving = _table(spark, folder, "events"), scratch_path(spark, "stream-in")
     events = events.select("props", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     for part in range(3):
         events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.parquet(f"{arriving}/part={part}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{arriving}/part=*")
+    # every batch goes to all partitions of the state, so that batches must not become more with the files
+    files = len(spark.read.schema(events.schema).parquet(f"{arriving}/part=*").inputFiles())
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{arriving}/part=*")
     root, checkpoint = scratch_path(spark, "stream-within"), scratch_path(spark, "stream-checkpoint")
     incremental.stream_insert_within_delay(stream, ["props"], "ts", 3600, root, checkpoint, ["event_id"]).awaitTermination()
     existing = _table(spark, folder, "events").where("event_type = 'click' and props like '%7%'").select("props").distinct()
