@@ -50,13 +50,15 @@ FOLDS = {2: 2, 4: 8, 8: 128, 16: None}
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes (uint64) have each bit, the highest bit first."""
-    counts = np.zeros(BITS, np.int64)
+    """How many of the hashes (uint64, one or a row of them each) have each bit, the highest bit first."""
+    hashes = hashes.reshape(len(hashes), -1)
+    width = BITS * hashes.shape[1]
+    counts = np.zeros(width, np.int64)
     for start in range(0, len(hashes), BLOCK):
-        part = hashes[start : start + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[start : start + BLOCK].astype(">u8").view(np.uint8)
         bits = np.unpackbits(part, axis=1)
         full = len(bits) // 255 * 255
-        counts += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[:full].reshape(-1, 255, width).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         counts += bits[full:].sum(axis=0, dtype=np.int64)
     return counts
 
